@@ -1,0 +1,74 @@
+"""Joins and splits that stay balanced when one key holds most of the rows.
+
+Hot keys are picked by row count: at least ``min_rows`` rows, and among those
+the ``max_keys`` largest. The pick is never larger than ``max_keys`` rows, so it
+can be broadcast whatever the size of the data. A key that is not picked has
+either fewer than ``min_rows`` rows or at most one ``max_keys``-th of all rows.
+The pick only decides which way a row takes; both ways give the same result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pagetally.sources.tables import materialize
+
+HOT_MIN_ROWS = 1_000_000
+HOT_MAX_KEYS = 10_000
+
+
+def pick_hot(
+    counts: DataFrame,
+    keys: Sequence[str],
+    n_rows: str,
+    min_rows: int = HOT_MIN_ROWS,
+    max_keys: int = HOT_MAX_KEYS,
+) -> DataFrame:
+    """The hot rows of a table that has one row per key and a row count.
+
+    The order is total, so that every evaluation picks the same keys.
+    """
+    return (
+        counts.where(F.col(n_rows) >= min_rows)
+        .orderBy(F.desc(n_rows), *keys)
+        .limit(max_keys)
+    )
+
+
+def split_by_hot(
+    rows: DataFrame, keys: Sequence[str], hot: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of hot keys and all other rows, without a shuffle of ``rows``."""
+    hot_keys = F.broadcast(hot.select(*keys))
+    return (
+        rows.join(hot_keys, list(keys), "left_semi"),
+        rows.join(hot_keys, list(keys), "left_anti"),
+    )
+
+
+def lookup_join(
+    rows: DataFrame,
+    lookup: DataFrame,
+    keys: Sequence[str],
+    n_rows: str,
+    min_rows: int = HOT_MIN_ROWS,
+    max_keys: int = HOT_MAX_KEYS,
+) -> DataFrame:
+    """Inner join of many ``rows`` to a ``lookup`` with one row per key.
+
+    ``lookup[n_rows]`` says how many rows the key will meet. Rows of hot keys
+    meet their few lookup rows by broadcast and stay where they are; the rest
+    are shuffled by key. The lookup is read up to three times, so it is written
+    out first.
+    """
+    lookup = materialize(lookup, "lookup")
+    hot = pick_hot(lookup, keys, n_rows, min_rows, max_keys)
+    if hot.isEmpty():
+        return rows.join(lookup, list(keys))
+    _, cold_rows = split_by_hot(rows, keys, hot)
+    hot_part = rows.join(F.broadcast(hot), list(keys))
+    cold_part = cold_rows.join(lookup, list(keys))
+    return hot_part.unionByName(cold_part)
