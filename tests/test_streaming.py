@@ -1,0 +1,116 @@
+"""Streaming jobs over ordered files: late rows, redelivery, restarts, open days."""
+
+import os
+from collections import Counter
+from datetime import datetime, timedelta
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+
+from pagetally.session import shared_dir
+from pagetally.sources.tables import stream_events
+from pagetally.streaming import jobs
+
+DAY = datetime(2024, 1, 1)
+
+
+def add_file(folder, number, rows):
+    """One parquet file, newer than the files before it."""
+    columns = list(zip(*rows))
+    table = pa.table({
+        "event_id": pa.array(columns[0], pa.int64()),
+        "ts": pa.array(columns[1], pa.timestamp("us")),
+        "user_id": pa.array([1] * len(rows), pa.int64()),
+        "event_type": pa.array(columns[2], pa.string()),
+        "value": pa.array([0.0] * len(rows), pa.float64()),
+        "props": pa.array([None] * len(rows), pa.string()),
+    })
+    path = os.path.join(folder, f"events-{number}.parquet")
+    pq.write_table(table, path)
+    os.utime(path, (1_700_000_000 + number, 1_700_000_000 + number))
+
+
+def at(**delta):
+    return DAY + timedelta(**delta)
+
+
+@pytest.fixture
+def folder(tmp_path):
+    (tmp_path / "notes.parquet").write_text("not an event file")
+    return str(tmp_path)
+
+
+def counts(rows):
+    return {(r.day, r.event_type): r.n_events for r in rows.collect()}
+
+
+def test_daily_counts_late_rows_and_open_days(spark, folder):
+    add_file(folder, 0, [(i, at(hours=i), "view") for i in range(24)])
+    add_file(folder, 1, [(100, at(hours=23, minutes=30), "view"), (101, at(days=1, hours=2), "click")])
+    add_file(folder, 2, [(200, at(hours=5), "view"), (201, at(days=1, hours=3), "view")])
+    add_file(folder, 3, [(300, at(hours=6), "view"), (301, at(days=3), "view")])
+    stream = stream_events(spark, folder, max_files_per_trigger=1)
+    got = counts(jobs.run_once(jobs.daily_counts(stream), "test"))
+    # Late rows are judged by the watermark of the batch before: 100 and 200 still
+    # find their day open, 300 does not. The last day stays open.
+    assert got == {
+        (DAY.date(), "view"): 26,
+        (at(days=1).date(), "view"): 1,
+        (at(days=1).date(), "click"): 1,
+    }
+
+
+def test_rows_too_late_are_dropped_and_counted(spark, folder):
+    add_file(folder, 0, [(1, at(days=2), "view")])
+    add_file(folder, 1, [(2, at(days=4), "view")])
+    add_file(folder, 2, [(3, at(days=0), "view"), (4, at(days=6), "view")])
+    base = shared_dir(spark, "late")
+    query = (
+        jobs.daily_counts(stream_events(spark, folder, max_files_per_trigger=1))
+        .writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint")
+        .trigger(availableNow=True).start(f"{base}/rows")
+    )
+    query.awaitTermination()
+    dropped = sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
+    assert dropped == 1
+    assert counts(spark.read.parquet(f"{base}/rows")) == {
+        (at(days=2).date(), "view"): 1, (at(days=4).date(), "view"): 1}
+
+
+def test_daily_counts_resume_from_the_checkpoint(spark, folder):
+    base = shared_dir(spark, "resume")
+    for number in range(4):
+        add_file(folder, number, [(number * 10 + i, at(days=number, hours=i), "view") for i in range(10)])
+        stream = stream_events(spark, folder)
+        jobs.append_available(jobs.daily_counts(stream), f"{base}/rows", f"{base}/checkpoint")
+    got = counts(spark.read.parquet(f"{base}/rows"))
+    assert got == {(at(days=d).date(), "view"): 10 for d in range(3)}
+
+
+@pytest.mark.parametrize("spread", [1, 4])
+def test_deduplicate(spark, folder, spread):
+    """Repeats within a file, in later files, and one event that is a third of all rows."""
+    base = shared_dir(spark, "unique")
+    hot = [(7, at(minutes=1), "view")] * 200
+    fresh = [(1000 + i, at(minutes=i), "view") for i in range(120)]
+    add_file(folder, 0, hot + fresh[:40] + fresh[:40])
+    add_file(folder, 1, fresh[30:80] + hot[:50])
+    add_file(folder, 2, fresh[60:] + fresh[110:])
+    stream = stream_events(spark, folder, max_files_per_trigger=1)
+    jobs.append_available(jobs.deduplicate(stream, "2 hours", spread), f"{base}/rows", f"{base}/checkpoint")
+    add_file(folder, 3, fresh[100:] + [(5000, at(minutes=119), "click")])
+    stream = stream_events(spark, folder, max_files_per_trigger=1)
+    jobs.append_available(jobs.deduplicate(stream, "2 hours", spread), f"{base}/rows", f"{base}/checkpoint")
+    got = Counter(r.event_id for r in spark.read.parquet(f"{base}/rows").collect())
+    assert got == Counter([7, 5000, *range(1000, 1120)])
+
+
+def test_days_are_utc_days_in_any_session_zone(spark, folder):
+    add_file(folder, 0, [(i, at(hours=i), "view") for i in range(72)])
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        got = counts(jobs.run_once(jobs.daily_counts(stream_events(spark, folder)), "zone"))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == {(DAY.date(), "view"): 24, (at(days=1).date(), "view"): 24}
