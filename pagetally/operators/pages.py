@@ -32,9 +32,11 @@ def page_audit(pages: DataFrame) -> DataFrame:
 
 def link_edges(pages: DataFrame) -> DataFrame:
     """One row per link of a page, numbered from 1 in page order. No shuffle."""
+    # The outer form keeps Spark from adding a filter that tokenizes a second time.
     return (
         pages.select("page_id", html.link_tags(html.tokens("html", "a")).alias("links"))
-        .select("page_id", F.posexplode("links").alias("pos", "tag"))
+        .select("page_id", F.posexplode_outer("links").alias("pos", "tag"))
+        .where(F.col("tag").isNotNull())
         .select(
             "page_id",
             (F.col("pos") + 1).cast("bigint").alias("link_no"),
@@ -45,13 +47,14 @@ def link_edges(pages: DataFrame) -> DataFrame:
 
 def duplicate_titles(pages: DataFrame) -> DataFrame:
     """Titles that more than one page has. Pages without a title are left out."""
+    # Pages without a title count as zero, rather than being filtered out: a filter
+    # would move down to the scan and tokenize a second time.
     titles = pages.select(html.tokens("html").alias("found")).select(
-        html.title(F.col("found")).alias("title")
+        F.nullif(html.title(F.col("found")), F.lit("")).alias("title")
     )
     return (
-        titles.where(F.col("title") != "")
-        .groupBy("title")
-        .agg(F.count("*").alias("n_pages"))
+        titles.groupBy("title")
+        .agg(F.count("title").alias("n_pages"))
         .where(F.col("n_pages") > 1)
     )
 

@@ -12,7 +12,7 @@ from pagetally.operators.funnel import funnel
 from pagetally.operators.last_touch import last_touch
 from pagetally.operators.sessions import user_sessions
 from pagetally.sources.tables import read_table, stream_events
-from pagetally.streaming import jobs
+from pagetally.streaming.jobs import daily_counts, deduplicate, run_once
 
 Report = Callable[[SparkSession, str], DataFrame]
 
@@ -32,14 +32,19 @@ def signup_funnel(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_daily_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return jobs.run_once(jobs.daily_counts(stream_events(spark, folder)), "daily-counts")
+    return run_once(daily_counts(stream_events(spark, folder)), "daily-counts")
 
 
 def stream_deduplicated(spark: SparkSession, folder: str) -> DataFrame:
-    unique = jobs.run_once(jobs.deduplicate(stream_events(spark, folder)), "deduplicated")
+    unique = run_once(deduplicate(stream_events(spark, folder)), "deduplicated")
     return unique.select("event_id", F.unix_micros("ts").alias("ts_micros"), "user_id", "event_type")
 
 
+STREAMS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "daily_counts": daily_counts,
+    "deduplicate": deduplicate,
+}
+
 REPORTS: dict[str, Report] = {
     "page_audit": _over("pages", pages.page_audit),
     "link_edges": _over("pages", pages.link_edges),

@@ -31,17 +31,20 @@ def deduplicate(events: DataFrame, delay: str = "1 hour", spread: int = 32) -> D
     """Events without repeats of an ``event_id`` that arrive within ``delay``.
 
     Copies of one event are first thinned out among the tasks that read them, in
-    ``spread`` groups, so that at most ``spread`` copies per batch meet in one
-    task however often an event was delivered. ``spread=1`` leaves that out.
+    ``spread`` groups, so that at most ``spread`` of them meet in one task however
+    often the event was delivered. That doubles the state; ``spread=1`` leaves it
+    out. Events without an id are all kept: nothing tells them to be copies.
     """
-    marked = events.withWatermark("ts", delay)
+    marked = events.withWatermark("ts", delay).withColumn(
+        "own", F.when(F.col("event_id").isNull(), F.uuid())
+    )
     if spread > 1:
         marked = (
             marked.withColumn("reader", F.spark_partition_id() % spread)
-            .dropDuplicatesWithinWatermark(["event_id", "reader"])
+            .dropDuplicatesWithinWatermark(["event_id", "own", "reader"])
             .drop("reader")
         )
-    return marked.dropDuplicatesWithinWatermark(["event_id"])
+    return marked.dropDuplicatesWithinWatermark(["event_id", "own"]).drop("own")
 
 
 def append_available(rows: DataFrame, output: str, checkpoint: str) -> None:

