@@ -64,11 +64,13 @@ def last_touch(
 
 
 def _by_user(rows: DataFrame) -> DataFrame:
-    """Carry the last touch along each user's rows; one shuffle."""
-    is_target = F.col("touch_id").isNull()
+    """Carry the last touch along each user's rows; one shuffle.
+
+    At equal times touches come first, by id, and then the targets.
+    """
     up_to_here = (
         Window.partitionBy("user_id")
-        .orderBy("ts", is_target, "event_id")
+        .orderBy("ts", F.asc_nulls_last("touch_id"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
@@ -76,7 +78,7 @@ def _by_user(rows: DataFrame) -> DataFrame:
             "user_id",
             "ts",
             "event_id",
-            is_target.alias("is_target"),
+            F.col("touch_id").isNull().alias("is_target"),
             F.last("touch_ts", ignorenulls=True).over(up_to_here).alias("touch_ts"),
             F.last("touch_id", ignorenulls=True).over(up_to_here).alias("touch_id"),
         )
@@ -92,12 +94,14 @@ def _by_slice(rows: DataFrame, min_hot_rows: int, max_hot_keys: int) -> DataFram
     slices is put in front of each slice, so that every slice can be filled on
     its own, and the targets then look their time up.
     """
+    # Both uses of the points read all their columns, in the same order, so that
+    # Spark shuffles them once and reuses the shuffle.
     points = (
         rows.groupBy("user_id", "ts")
         .agg(
+            F.count(F.when(F.col("touch_id").isNull(), True)).alias("n_targets"),
             F.max("touch_ts").alias("touch_ts"),
             F.max("touch_id").alias("touch_id"),
-            F.count_if(F.col("touch_id").isNull()).alias("n_targets"),
         )
         .withColumn("slice", F.window("ts", SLICE).start)
     )
@@ -109,6 +113,7 @@ def _by_slice(rows: DataFrame, min_hot_rows: int, max_hot_keys: int) -> DataFram
     carried = (
         points.groupBy("user_id", "slice")
         .agg(
+            F.sum("n_targets").alias("slice_targets"),
             F.max("touch_ts").alias("touch_ts"),
             F.max_by("touch_id", "touch_ts").alias("touch_id"),
         )
@@ -119,8 +124,10 @@ def _by_slice(rows: DataFrame, min_hot_rows: int, max_hot_keys: int) -> DataFram
             F.last("touch_id", ignorenulls=True).over(earlier_slices).alias("touch_id"),
             F.lit(0).cast("bigint").alias("n_targets"),
             "slice",
+            "slice_targets",
         )
-        .where(F.col("touch_id").isNotNull())
+        .where(F.col("touch_id").isNotNull() & (F.col("slice_targets") > 0))
+        .drop("slice_targets")
     )
     # A carried touch sorts before a point at the very start of its slice.
     within_slice = (

@@ -8,7 +8,7 @@ from pagetally.operators import activity, pages, skew
 from pagetally.operators.funnel import funnel
 from pagetally.operators.last_touch import last_touch
 from pagetally.operators.sessions import user_sessions
-from pagetally.sources.tables import read_table
+from pagetally.sources.tables import materialize, read_table
 from tests.conftest import TESTDATA
 
 FOLDER = f"{TESTDATA}/sf0.001"
@@ -95,6 +95,20 @@ def test_hot_rows_are_not_shuffled(spark, explain, events):
     assert "BroadcastExchange" in hot_side
 
 
+def test_hot_users_points_are_shuffled_once(events, monkeypatch):
+    written = []
+
+    def noted(df, purpose):
+        df.collect()
+        written.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, purpose)
+
+    monkeypatch.setattr(skew, "materialize", noted)
+    last_touch(events, min_hot_rows=5, max_hot_keys=3)
+    final = written[-1].split("== Initial Plan ==")[0]
+    assert re.search(r"ReusedExchange \[user_id#\w+, ts#\w+, count", final), final
+
+
 def test_hot_pick_is_bounded_and_repeatable(spark):
     counts = spark.range(1000).selectExpr("id AS user_id", "id div 100 AS n").repartition(7)
     picks = [
