@@ -27,6 +27,7 @@ def main(arguments: Sequence[str] | None = None) -> None:
     stream.add_argument("--output", required=True)
     stream.add_argument("--checkpoint", required=True)
     stream.add_argument("--max-files", type=int)
+    stream.add_argument("--state-partitions", type=int)
 
     chosen = parser.parse_args(arguments)
     spark = build_session(f"pagetally {chosen.name}")
@@ -35,7 +36,8 @@ def main(arguments: Sequence[str] | None = None) -> None:
         write_table(result, chosen.output, chosen.partition_by)
     else:
         events = stream_events(spark, chosen.tables, max_files_per_trigger=chosen.max_files)
-        append_available(STREAMS[chosen.name](events), chosen.output, chosen.checkpoint)
+        rows = STREAMS[chosen.name](events)
+        append_available(rows, chosen.output, chosen.checkpoint, chosen.state_partitions)
 
 
 if __name__ == "__main__":

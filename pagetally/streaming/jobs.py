@@ -47,24 +47,40 @@ def deduplicate(events: DataFrame, delay: str = "1 hour", spread: int = 32) -> D
     return marked.dropDuplicatesWithinWatermark(["event_id", "own"]).drop("own")
 
 
-def append_available(rows: DataFrame, output: str, checkpoint: str) -> None:
+def append_available(
+    rows: DataFrame, output: str, checkpoint: str, state_partitions: int | None = None
+) -> None:
     """Append what has arrived since the last run with this checkpoint, then stop.
 
     The parquet sink logs finished batches, so a run repeated after a failure
-    adds nothing twice.
+    adds nothing twice. Adaptive execution does not size stateful shuffles: their
+    number of partitions is taken from ``state_partitions``, or else the session,
+    on the first run, and stays.
     """
-    query = (
+    writer = (
         rows.writeStream.format("parquet")
         .outputMode("append")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start(output)
     )
+    conf, setting = rows.sparkSession.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(setting)
+    conf.set(setting, str(state_partitions or before))
+    try:
+        query = writer.start(output)  # copies the settings
+    finally:
+        conf.set(setting, before)
     query.awaitTermination()
 
 
 def run_once(rows: DataFrame, purpose: str) -> DataFrame:
-    """Run a stream over all files present into the shared folder; read the result."""
-    base = shared_dir(rows.sparkSession, purpose)
-    append_available(rows, f"{base}/rows", f"{base}/checkpoint")
-    return rows.sparkSession.read.schema(rows.schema).parquet(f"{base}/rows")
+    """Run a stream over all files present into the shared folder; read the result.
+
+    It gets one state partition per core of the cluster.
+    """
+    spark = rows.sparkSession
+    base = shared_dir(spark, purpose)
+    append_available(
+        rows, f"{base}/rows", f"{base}/checkpoint", spark.sparkContext.defaultParallelism
+    )
+    return spark.read.schema(rows.schema).parquet(f"{base}/rows")

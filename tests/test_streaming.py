@@ -114,3 +114,14 @@ def test_days_are_utc_days_in_any_session_zone(spark, folder):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert got == {(DAY.date(), "view"): 24, (at(days=1).date(), "view"): 24}
+
+
+def test_state_partitions_are_set_for_the_stream_alone(spark, folder):
+    add_file(folder, 0, [(i, at(hours=i), "view") for i in range(30)])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    base = shared_dir(spark, "partitions")
+    unique = jobs.deduplicate(stream_events(spark, folder), spread=1)
+    jobs.append_available(unique, f"{base}/rows", f"{base}/checkpoint", state_partitions=7)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert len(os.listdir(f"{base}/checkpoint/state/0")) >= 7
+    assert spark.read.parquet(f"{base}/rows").count() == 30
