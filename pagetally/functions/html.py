@@ -111,4 +111,5 @@ def title(found: Column) -> Column:
     titles = F.filter(found, lambda token: _is_tag(token, "title"))
     first = F.coalesce(F.get(titles, F.lit(0)), F.lit(""))
     text = F.regexp_replace(first, rf"(?is)^title{_TAG_REST}|</title[{SPACE}/>]\z", "")
-    return F.trim(F.regexp_replace(text, rf"[{SPACE}]+", " "))
+    collapsed = F.trim(F.regexp_replace(text, rf"[{SPACE}]+", " "))
+    return F.when(found.isNotNull(), collapsed)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Holds any sum of doubles below 1e22 to six decimal places, in any order of
-# addition. A value that does not fit, such as NaN, fails the job under ANSI mode.
-EXACT = "decimal(28,6)"
+# Values are added up as whole millionths, so that the order of addition does not
+# matter. One that does not fit, such as NaN, fails the job under ANSI mode.
+MILLIONTHS = 1_000_000
 
 
 def event_report(events: DataFrame) -> DataFrame:
@@ -37,19 +37,20 @@ def daily_activity(events: DataFrame, rows: int = 7) -> DataFrame:
     at most about 3.7 million for all dates Spark can hold, never the events.
     """
     trailing = Window.orderBy("day").rowsBetween(1 - rows, Window.currentRow)
-    daily = (
+    user_days = (
         events.where(F.col("ts").isNotNull())
-        .groupBy(F.to_date("ts").alias("day"))
-        .agg(
-            F.countDistinct("user_id").alias("n_users"),
-            F.sum(F.col("value").cast(EXACT)).alias("total"),
-        )
+        .groupBy(F.to_date("ts").alias("day"), "user_id")
+        .agg(F.sum(F.rint(F.col("value") * MILLIONTHS).cast("bigint")).alias("millionths"))
+    )
+    daily = user_days.groupBy("day").agg(
+        F.count("user_id").alias("n_users"),
+        F.sum(F.col("millionths").cast("decimal(28,0)")).alias("millionths"),
     )
     return daily.select(
         "day",
         "n_users",
-        F.col("total").cast("double").alias("value"),
-        F.sum("total").over(trailing).cast("double").alias("rolling_value"),
+        (F.col("millionths") / MILLIONTHS).cast("double").alias("value"),
+        (F.sum("millionths").over(trailing) / MILLIONTHS).cast("double").alias("rolling_value"),
     )
 
 

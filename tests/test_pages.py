@@ -148,6 +148,13 @@ def test_whole_text_is_read(spark):
     assert (row.n_links, row.n_h1) == (1, 1)
 
 
+def test_page_without_text(spark):
+    df = pages_df(spark, [None, ""])
+    got = [tuple(r) for r in reports.page_audit(df).orderBy("page_id").collect()]
+    assert got == [(0, "a.example", *[None] * 5), (1, "a.example", 0, 0, 0, 0, False)]
+    assert reports.link_edges(df).isEmpty() and reports.duplicate_titles(df).isEmpty()
+
+
 URLS = {
     "https://Www.Example.com/a/?q=1#f": ("www.example.com", "example.com/a"),
     "http://m.example.com": ("m.example.com", "example.com"),
