@@ -30,12 +30,12 @@ def last_touch(
 
     Of touches at the same time the one with the highest ``event_id`` counts.
     Targets without an earlier touch are kept, with NULL touch columns. Events
-    without an id, user or time are left out.
+    without a user or time, and touches without an id, are left out.
     """
     is_touch = F.col("event_type") == touch
     rows = events.where(
         F.col("event_type").isin(target, touch)
-        & F.col("event_id").isNotNull()
+        & (F.col("event_id").isNotNull() | ~is_touch)
         & F.col("user_id").isNotNull()
         & F.col("ts").isNotNull()
     ).select(

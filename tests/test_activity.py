@@ -95,6 +95,17 @@ def test_last_touch_keeps_every_copy_at_one_time(spark):
     assert {r.click_id for r in got if r.user_id == 7 and r.purchase_ts == START} == {1000}
 
 
+@pytest.mark.parametrize("hot", HOT)
+def test_last_touch_without_ids(spark, hot):
+    at = [START + timedelta(minutes=i) for i in range(4)]
+    rows = [(1, at[0], 1, "click", 0.0, None), (None, at[1], 1, "click", 0.0, None),
+            (None, at[2], 1, "purchase", 0.0, None), (None, at[2], 1, "purchase", 0.0, None),
+            (2, at[3], 1, "purchase", 0.0, None)]
+    got = last_touch(events_df(spark, rows), **HOT[hot]).collect()
+    assert Counter(map(tuple, got)) == Counter({
+        (None, 1, at[2], 1, at[0]): 2, (2, 1, at[3], 1, at[0]): 1})
+
+
 def test_event_report(spark):
     rows = random_events(3)
     want = Counter()

@@ -1,0 +1,41 @@
+"""The skew-safe join equals a plain join, whichever keys are taken as hot."""
+
+import random
+from collections import Counter
+
+import pytest
+
+from pagetally.operators.skew import lookup_join, pick_hot, split_by_hot
+
+
+@pytest.fixture(scope="module")
+def inputs(spark):
+    """One key with a third of the rows, keys on one side only, many equal counts."""
+    rng = random.Random(6)
+    keys = [0] * 300 + [rng.randrange(1, 80) for _ in range(500)] + [None] * 5
+    rows = [(k, i) for i, k in enumerate(keys)]
+    counts = Counter(k for k in keys if k is not None and k % 7)
+    counts[0] = 300
+    lookup = [(k, n, f"v{k}") for k, n in counts.items()] + [(500, 0, "unused")]
+    return (
+        spark.createDataFrame(rows, "k bigint, row_no int").repartition(5),
+        spark.createDataFrame(lookup, "k bigint, n bigint, v string").repartition(3),
+    )
+
+
+@pytest.mark.parametrize("min_rows, max_keys", [(10**6, 10), (100, 10), (6, 5), (1, 1), (0, 1000)])
+def test_lookup_join(inputs, min_rows, max_keys):
+    rows, lookup = inputs
+    want = Counter(map(tuple, rows.join(lookup, "k").select("k", "row_no", "v").collect()))
+    got = lookup_join(rows, lookup, ["k"], "n", min_rows, max_keys).select("k", "row_no", "v")
+    assert Counter(map(tuple, got.collect())) == want
+    assert sum(want.values()) > 600
+
+
+def test_split_keeps_every_row_once(inputs):
+    rows, lookup = inputs
+    hot, cold = split_by_hot(rows, ["k"], pick_hot(lookup, ["k"], "n", 8, 4))
+    hot_rows, cold_rows = hot.collect(), cold.collect()
+    assert Counter(hot_rows) + Counter(cold_rows) == Counter(rows.collect())
+    assert len({r.k for r in hot_rows}) == 4 and not {r.k for r in hot_rows} & {r.k for r in cold_rows}
+    assert sum(r.k is None for r in cold_rows) == 5
