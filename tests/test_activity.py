@@ -1,10 +1,12 @@
 """Activity reports against plain Python on inputs with ties, gaps and NULLs."""
 
+import random
 from collections import Counter
 from datetime import timedelta
 from decimal import Decimal
 
 import pytest
+from pyspark.errors import ArithmeticException
 
 from pagetally.operators.activity import daily_activity, event_report, weekly_retention
 from pagetally.operators.funnel import funnel
@@ -135,6 +137,22 @@ def test_daily_activity(spark):
     assert collected(daily_activity(events_df(spark, rows))) == want
 
 
+@pytest.mark.parametrize("value", [float("nan"), float("inf"), 1e300])
+def test_values_that_cannot_be_summed_fail_the_job(spark, value):
+    rows = [(1, START, 1, "view", 1.0, None), (2, START, 1, "view", value, None)]
+    with pytest.raises(ArithmeticException, match="CAST_OVERFLOW"):
+        daily_activity(events_df(spark, rows)).collect()
+
+
+def test_daily_sums_do_not_depend_on_the_order(spark):
+    values = [0.1, 0.2, 0.3, 1e9, 0.7, 2e9 + 0.01] * 50
+    want = float(sum(Decimal(str(v)) for v in values))
+    for seed in range(3):
+        random.Random(seed).shuffle(values)
+        rows = [(i, START, i % 7, "view", v, None) for i, v in enumerate(values)]
+        assert daily_activity(events_df(spark, rows, seed + 1)).head().value == want
+
+
 def test_weekly_retention(spark):
     rows = random_events(5, most=8, minutes=60 * 24 * 40)
     active = set()
