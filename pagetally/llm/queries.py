@@ -4,19 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagetally.llm import simhash
+from pagetally.llm import quality_crf, sentencepiece_codec, simhash
 from pagetally.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_sentencepiece(
+    spark: SparkSession, folder: str, model_path: str | None = None,
+) -> DataFrame:
+    path = model_path or public_tokenizers.path("piece_bpe_32k.model")
+    encoded = sentencepiece_codec.encode(read_table(spark, folder, "documents"), path)
+    hashed = encoded.select(
+        "doc_id", "ids",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        sentencepiece_codec.span_bytes().alias("span_bytes"),
+    )
+    return sentencepiece_codec.decode(hashed, path).select(
+        "doc_id", "n_tokens", "ids_sha256",
+        F.sha2("decoded", 256).alias("decoded_sha256"), "span_bytes")
+
+
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    field = quality_crf.fit(docs, read_table(spark, folder, "labels"))
+    return quality_crf.judge(docs, field).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "content_words")
+
+
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_copies(read_table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op5_sentencepiece": op5_sentencepiece,
+    "op6_quality": op6_quality,
     "op8_simhash": op8_simhash,
 }
 
