@@ -8,12 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetally.llm import quality_crf, sentencepiece_codec, simhash
+from pagetally.llm import langid, quality_crf, sentencepiece_codec, simhash
 from pagetally.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    docs = docs.withColumn("held_out", langid.held_out(docs["doc_id"]))
+    profiles = langid.learn(docs.where("NOT held_out"))
+    return langid.identify(docs, profiles).select(
+        "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_sentencepiece(
     spark: SparkSession, folder: str, model_path: str | None = None,
 ) -> DataFrame:
@@ -43,6 +51,7 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op4_language_id": op4_language_id,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_quality": op6_quality,
     "op8_simhash": op8_simhash,
