@@ -8,12 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetally.llm import langid, quality_crf, sentencepiece_codec, simhash
+from pagetally.llm import decontamination, langid, quality_crf, sentencepiece_codec, simhash
 from pagetally.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.decontaminate(
+        read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     docs = docs.withColumn("held_out", langid.held_out(docs["doc_id"]))
@@ -51,10 +59,40 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_quality": op6_quality,
     "op8_simhash": op8_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+        b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+        known AS (
+            SELECT item_id, k, w[i:i + k - 1] AS win FROM (
+                SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (
+                    SELECT item_id, w, least(13, len(w)) AS k FROM b WHERE len(w) > 0))
+        ),
+        seen AS (
+            SELECT r, k, i, w[i:i + k - 1] AS win FROM (
+                SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i
+                FROM d, (SELECT DISTINCT k FROM known))
+        ),
+        found AS (SELECT r, seen.k, i, item_id FROM seen JOIN known ON seen.k = known.k AND seen.win = known.win),
+        places AS (SELECT r, count(DISTINCT place) AS n_hit FROM (
+            SELECT r, unnest(range(i, i + k)) AS place FROM found) GROUP BY r),
+        items AS (SELECT r, count(DISTINCT item_id) AS n_items,
+                         string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+                  FROM found GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+               coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN places USING (r) LEFT JOIN items USING (r)""",
+}
