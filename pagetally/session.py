@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import functools
-import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 # Adaptive execution sizes the shuffles at run time, so the initial partition
@@ -44,20 +46,45 @@ def build_session(
     return builder.getOrCreate()
 
 
-@functools.cache
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="pagetally-")
+def _local_path(spark: SparkSession, root: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() == "file"
+
+
+def work_root(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables; see ``shared_dir``."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir", None)
+    if not spark.sparkContext.master.startswith("local") and _local_path(spark, root):
+        raise ValueError(f"set spark.checkpoint.dir to a folder all executors share, not {root}")
+    return f"{root.rstrip('/')}/pagetally/{spark.sparkContext.applicationId}"
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name under the cluster's ``spark.checkpoint.dir``.
 
-    Every executor must reach it, so a machine-local folder is made up only in
-    local mode, where there is one machine.
+    Every executor must reach it, so on a cluster a path on local disks is refused. Where
+    the setting is missing, the warehouse, which is shared too, takes its place. Results that
+    are not read yet may need the folder, so it is deleted when the Python process ends.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = _local_root()
-    return f"{root.rstrip('/')}/pagetally/{purpose}-{uuid.uuid4().hex}"
+    root = work_root(spark)
+    _delete_at_exit(root)
+    return f"{root}/{purpose}-{uuid.uuid4().hex}"
+
+
+@functools.cache
+def _delete_at_exit(root: str) -> None:
+    atexit.register(_delete_quietly, root)
+
+
+def _delete_quietly(root: str) -> None:
+    # The session may have been stopped by now; its Java process is still there.
+    with contextlib.suppress(Exception):
+        jvm = SparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate folder that nothing will read again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

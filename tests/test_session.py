@@ -1,38 +1,78 @@
 """Where jobs may write."""
 
+import os
+import subprocess
+import sys
 from types import SimpleNamespace
 
 import pytest
 
-from pagetally.session import shared_dir
+from pagetally.session import discard, shared_dir
 from pagetally.sources.tables import materialize
 
 
-def session(master, folder):
+class FakePath:
+    def __init__(self, path):
+        self.path = path
+
+    def getFileSystem(self, _):
+        scheme = self.path.split(":")[0] if ":" in self.path else "file"
+        return SimpleNamespace(getScheme=lambda: scheme)
+
+
+def session(master, **settings):
+    java = SimpleNamespace(org=SimpleNamespace(apache=SimpleNamespace(hadoop=SimpleNamespace(
+        fs=SimpleNamespace(Path=FakePath)))))
     return SimpleNamespace(
-        conf=SimpleNamespace(get=lambda key, default: folder),
-        sparkContext=SimpleNamespace(master=master),
+        conf=SimpleNamespace(get=lambda key, default=None: settings.get(key.split(".")[-2], default)),
+        sparkContext=SimpleNamespace(master=master, applicationId="app-1"),
+        _jvm=java, _jsc=SimpleNamespace(hadoopConfiguration=lambda: None),
     )
 
 
 def test_the_configured_folder_is_used():
-    got = shared_dir(session("spark://host:7077", "hdfs://shared/checkpoints/"), "x")
-    assert got.startswith("hdfs://shared/checkpoints/pagetally/x-")
+    got = shared_dir(session("spark://host:7077", checkpoint="hdfs://shared/checkpoints/"), "x")
+    assert got.startswith("hdfs://shared/checkpoints/pagetally/app-1/x-")
 
 
 def test_every_name_is_new():
-    spark = session("local[2]", "/shared")
+    spark = session("local[2]", checkpoint="/shared")
     assert shared_dir(spark, "x") != shared_dir(spark, "x")
 
 
-def test_a_cluster_without_a_shared_folder_is_refused():
+@pytest.mark.parametrize("folder", ["/tmp/x", "file:///tmp/x"])
+def test_a_local_folder_is_refused_on_a_cluster(folder):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_dir(session("yarn", None), "x")
+        shared_dir(session("yarn", checkpoint=folder), "x")
 
 
-def test_local_mode_may_make_its_own():
-    first, second = (shared_dir(session("local[2]", None), "x") for _ in range(2))
-    assert first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
+def test_the_warehouse_stands_in_for_a_missing_setting():
+    got = shared_dir(session("yarn", warehouse="s3a://lake/warehouse"), "x")
+    assert got.startswith("s3a://lake/warehouse/pagetally/app-1/x-")
+
+
+def test_intermediate_folders_are_gone_when_the_process_has_ended(tmp_path):
+    code = f"""
+from pagetally.session import build_session
+from pagetally.sources.tables import materialize
+spark = build_session(master="local[1]", extra={{
+    "spark.checkpoint.dir": "{tmp_path}", "spark.ui.enabled": "false"}})
+assert materialize(spark.range(3), "x").count() == 3
+import os
+print("files", sum(len(f) for _, _, f in os.walk("{tmp_path}")))
+spark.stop()
+"""
+    ran = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert ran.returncode == 0, ran.stderr
+    assert int(ran.stdout.split("files ")[1].split()[0]) > 0
+    assert not [f for _, _, files in os.walk(tmp_path) for f in files]
+
+
+def test_discarded_folders_are_gone(spark, tmp_path):
+    path = f"{tmp_path}/x"
+    spark.range(3).write.parquet(path)
+    discard(spark, path)
+    assert not os.path.exists(path)
 
 
 def test_materialize_keeps_rows_types_and_nulls(spark):
