@@ -8,12 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetally.llm import decontamination, langid, quality_crf, sentencepiece_codec, simhash
+from pagetally.llm import decontamination, langid, quality_crf, sentencepiece_codec, simhash, suffix_dedup
 from pagetally.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(read_table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.decontaminate(
         read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
@@ -59,6 +65,7 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id,
     "op5_sentencepiece": op5_sentencepiece,
