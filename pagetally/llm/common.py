@@ -69,21 +69,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def numbered(
-    df: DataFrame, keys: list[str], order: list, name: str, buckets: int = 64,
-) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Number the rows of each key from 0 in column ``name``, without one task per key.
 
-    Rows are dealt to ``buckets`` parts by their whole content, numbered inside each part
-    and shifted by the sizes of the parts before it. The parts come first in the order, so
-    ``order`` sorts within a part only; use it where any gapless numbering will do.
+    Rows are dealt to parts by their whole content, numbered inside each part and
+    shifted by the sizes of the parts before it, so a key's rows spread over all parts.
+    Which row gets which number does not matter to the caller, only that none is left out.
     """
-    part = F.pmod(F.xxhash64(*df.columns), F.lit(buckets))
-    dealt = df.withColumn("_part", part)
+    parts = max(64, 2 * partitions_of(df.sparkSession))
+    dealt = df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(parts)))
     sizes = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    inside = Window.partitionBy(*keys, "_part").orderBy(*order)
+    inside = Window.partitionBy(*keys, "_part").orderBy(*df.columns)
     return (dealt.withColumn("_at", F.row_number().over(inside) - 1)
             .join(sizes, [*keys, "_part"])
             .withColumn(name, (F.col("_at") + F.col("_shift")).cast("long"))

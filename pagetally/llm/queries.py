@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetally.llm import decontamination, langid, quality_crf, sentencepiece_codec, simhash, suffix_dedup
+from pagetally.llm import decontamination, langid, quality_crf, sentencepiece_codec, sharding, simhash, suffix_dedup
 from pagetally.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,12 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_copies(read_table(spark, folder, "documents"))
 
 
+def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.assign(read_table(spark, folder, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op3_decontamination": op3_decontamination,
@@ -71,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_quality": op6_quality,
     "op8_simhash": op8_simhash,
+    "op9_sharding": op9_sharding,
 }
 
 _WORDS = (
