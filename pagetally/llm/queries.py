@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetally.llm import decontamination, langid, quality_crf, sentencepiece_codec, sharding, simhash, suffix_dedup
+from pagetally.llm import decontamination, langid, quality_crf, sentencepiece_codec, sharding, simhash, suffix_dedup, wacz
 from pagetally.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,15 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read_table(spark, folder, "pages")
+    kind = pages.schema["page_id"].dataType
+    archives = wacz.write_archives(pages)
+    return wacz.read_records(wacz.list_records(archives), with_payload=False).select(
+        F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast(kind).alias("refers_to"))
+
+
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.decontaminate(
         read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
@@ -72,6 +81,7 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_warc": op2_warc,
     "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id,
     "op5_sentencepiece": op5_sentencepiece,
