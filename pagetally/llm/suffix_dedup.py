@@ -74,8 +74,9 @@ class Sampler:
         if len(self.up) < size:
             size = max(size, 2 * len(self.up))
             inverse = pow(self.base, -1, 1 << 64)
-            self.up = np.concatenate(([1], np.full(size - 1, self.base, np.uint64))).astype(np.uint64)
-            self.down = np.concatenate(([1], np.full(size - 1, inverse, np.uint64))).astype(np.uint64)
+            self.up = np.full(size, self.base, np.uint64)
+            self.down = np.full(size, inverse, np.uint64)
+            self.up[0] = self.down[0] = 1
             np.cumprod(self.up, out=self.up)
             np.cumprod(self.down, out=self.down)
 
