@@ -29,9 +29,10 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as model_pb
 
-from pagetally.llm.common import id_type, slim, utf8_rows
+from pagetally.llm.common import utf8_rows
 
 SPACE_MARK = "▁"
 MARK = SPACE_MARK.encode()
@@ -265,39 +266,49 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 def encode(
     docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id, ids, starts, ends) per row: ids with an end id, and their original byte spans."""
+    """(id, ids, starts, ends) per row: ids with an end id, and their original byte spans.
+
+    The columns named in ``keep`` follow.
+    """
     model = _model(docs, model_path)
-    schema = f"id {id_type(docs, id_col)}, ids array<int>, starts array<int>, ends array<int>"
+    own = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"),
+                      *[docs[c].alias(f"keep_{i}") for i, c in enumerate(keep)])
+    schema = T.StructType([
+        own.schema["id"], *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("ids", "starts", "ends")],
+        *own.schema.fields[2:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model.value)
+        names = [f.name for f in schema.fields]
         for batch in batches:
-            kind = batch.schema.field("id").type
-            keys, found, size = [], [], 0
+            begin, found, size = 0, [], 0
 
             def flush():
-                columns = [pa.array(keys, kind), *(_lists(list(c)) for c in zip(*found, strict=True))]
-                return pa.RecordBatch.from_arrays(columns, ["id", "ids", "starts", "ends"])
+                part = batch.slice(begin, len(found))  # noqa: B023
+                lists = [_lists(list(c)) for c in zip(*found, strict=True)]  # noqa: B023
+                return pa.RecordBatch.from_arrays([part.column("id"), *lists, *part.columns[2:]], names)
 
-            for key, text in utf8_rows(batch):
-                keys.append(key)
+            for _, text in utf8_rows(batch):
                 found.append(codec.encode(text))
                 size += len(text or b"")
                 if size > BATCH_BYTES:
                     yield flush()
-                    keys, found, size = [], [], 0
-            if keys:
+                    begin, found, size = begin + len(found), [], 0
+            if found:
                 yield flush()
 
-    return slim(docs, id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    out = own.mapInArrow(run, schema)
+    return out.select(F.col("id").alias(id_col), "ids", "starts", "ends",
+                      *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)])
 
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with a column ``decoded``; all its columns stay."""
     model = _model(encoded, model_path)
     out = encoded.select(*[c for c in encoded.columns if c != "decoded"])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
+    schema = T.StructType([*out.schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model.value)
@@ -309,7 +320,7 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFra
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
-    return out.mapInArrow(run, f"{fields}, decoded string")
+    return out.mapInArrow(run, schema)
 
 
 def span_bytes(starts: str = "starts", ends: str = "ends"):

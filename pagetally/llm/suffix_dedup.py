@@ -42,6 +42,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagetally.llm.common import id_type, partitions_of, record_batch, slim, utf8_rows
 from pagetally.session import discard, shared_dir
@@ -450,3 +451,36 @@ def remove_repeats(
     ids, cut = repeated_spans(docs, id_col, text_col, batches)
     return ids.join(cut.drop("kept"), ["k1", "k2"]).select(
         F.col("id").alias(id_col), "n_bytes", "n_removed", "spans", "kept_sha256")
+
+
+def clean(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES,
+) -> DataFrame:
+    """``docs`` with repeated strings cut out of the texts; other columns stay.
+
+    A null text stays null. Where a span ends inside a character, what is left of it is
+    dropped, so the text is valid.
+    """
+    _, cut = repeated_spans(docs, id_col, text_col, batches)
+    others = [c for c in docs.columns if c != text_col]
+    kept = others + ["_null", "_k1", "_k2"]
+    small = docs.select(
+        *others, docs[text_col].isNull().alias("_null"),
+        *[F.conv(F.substring(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256), at, 16), 16, -10).cast("long")
+          .alias(name) for at, name in ((1, "_k1"), (17, "_k2"))])
+    joined = small.join(cut.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("kept").alias("_kept")),
+                        ["_k1", "_k2"]).select(*kept, "_kept")
+    schema = T.StructType([docs.schema[c] for c in others] + [T.StructField("_text", T.StringType())])
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in rows:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                null, packed = part.column("_null"), part.column("_kept")
+                texts = [None if n.as_py() else unpack(p.as_py()).decode("utf-8", "ignore")
+                         for n, p in zip(null, packed, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(c) for c in others] + [pa.array(texts, pa.string())], [*others, "_text"])
+
+    return joined.mapInArrow(run, schema).withColumnRenamed("_text", text_col).select(*docs.columns)
