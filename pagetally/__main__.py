@@ -26,7 +26,9 @@ def main(arguments: Sequence[str] | None = None) -> None:
     stream.add_argument("--tables", required=True)
     stream.add_argument("--output", required=True)
     stream.add_argument("--checkpoint", required=True)
+    stream.add_argument("--files", help="names of the event files, such as events-*.parquet")
     stream.add_argument("--max-files", type=int)
+    stream.add_argument("--max-bytes", help="bytes per batch, such as 10g")
     stream.add_argument("--state-partitions", type=int)
 
     chosen = parser.parse_args(arguments)
@@ -35,9 +37,11 @@ def main(arguments: Sequence[str] | None = None) -> None:
         result = REPORTS[chosen.name](spark, chosen.tables)
         write_table(result, chosen.output, chosen.partition_by)
     else:
-        events = stream_events(spark, chosen.tables, max_files_per_trigger=chosen.max_files)
+        events = stream_events(
+            spark, chosen.tables, chosen.files, chosen.max_files, chosen.max_bytes)
         rows = STREAMS[chosen.name](events)
-        append_available(rows, chosen.output, chosen.checkpoint, chosen.state_partitions)
+        late = append_available(rows, chosen.output, chosen.checkpoint, chosen.state_partitions)
+        print(f"{late} rows came too late and were dropped")
 
 
 if __name__ == "__main__":

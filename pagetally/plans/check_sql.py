@@ -131,15 +131,13 @@ CHECK_SQL: dict[str, str] = {
                 PARTITION BY p.event_id ORDER BY c.ts DESC NULLS LAST, c.event_id DESC) = 1
         )
         SELECT * FROM ranked""",
-    # Days that the watermark, one hour behind the newest event, has passed.
     "stream_daily_counts": """
         SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n_events
-        FROM events
-        WHERE CAST(ts AS DATE) + INTERVAL 1 DAY
-              <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
-        GROUP BY 1, 2""",
+        FROM events WHERE ts IS NOT NULL GROUP BY 1, 2""",
     "stream_deduplicated": """
-        SELECT event_id, min(epoch_us(ts)) AS ts_micros, min(user_id) AS user_id,
-               min(event_type) AS event_type
-        FROM events GROUP BY event_id""",
+        SELECT event_id, ts, user_id, event_type, value, props FROM events
+        QUALIFY event_id IS NULL OR row_number() OVER (
+            PARTITION BY event_id
+            ORDER BY ts NULLS LAST, user_id NULLS FIRST, event_type NULLS FIRST,
+                     value NULLS FIRST, props NULLS FIRST) = 1""",
 }

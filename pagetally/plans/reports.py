@@ -5,14 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pagetally.operators import activity, pages
 from pagetally.operators.funnel import funnel
 from pagetally.operators.last_touch import last_touch
 from pagetally.operators.sessions import user_sessions
 from pagetally.sources.tables import read_table, stream_events
-from pagetally.streaming.jobs import daily_counts, deduplicate, run_once
+from pagetally.streaming.jobs import (
+    daily_counts,
+    deduplicate,
+    deduplicate_finished,
+    run_complete,
+)
 
 Report = Callable[[SparkSession, str], DataFrame]
 
@@ -32,12 +36,7 @@ def signup_funnel(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_daily_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return run_once(daily_counts(stream_events(spark, folder)), "daily-counts")
-
-
-def stream_deduplicated(spark: SparkSession, folder: str) -> DataFrame:
-    unique = run_once(deduplicate(stream_events(spark, folder)), "deduplicated")
-    return unique.select("event_id", F.unix_micros("ts").alias("ts_micros"), "user_id", "event_type")
+    return run_complete(daily_counts(stream_events(spark, folder)), "daily-counts")
 
 
 STREAMS: dict[str, Callable[[DataFrame], DataFrame]] = {
@@ -58,5 +57,5 @@ REPORTS: dict[str, Report] = {
     "weekly_retention": _over("events", activity.weekly_retention),
     "last_click_before_purchase": _over("events", last_touch),
     "stream_daily_counts": stream_daily_counts,
-    "stream_deduplicated": stream_deduplicated,
+    "stream_deduplicated": _over("events", deduplicate_finished),
 }

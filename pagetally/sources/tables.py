@@ -20,20 +20,36 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _found(spark: SparkSession, pattern: str) -> list:
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return list(path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or [])
+
+
 def stream_events(
     spark: SparkSession,
     folder: str,
-    file_glob: str = "events*.parquet",
+    file_glob: str | None = None,
     max_files_per_trigger: int | None = None,
+    max_bytes_per_trigger: str | None = None,
 ) -> DataFrame:
-    """Stream the event files of a folder, which may hold other files too."""
-    reader = (
-        spark.readStream.schema(EVENTS_STREAM_SCHEMA)
-        .option("pathGlobFilter", file_glob)
-    )
+    """Stream the table ``events.parquet`` of a folder, be it one file or a folder of files.
+
+    ``file_glob`` streams the files of these names instead, as they arrive. It raises if
+    there is nothing of the kind yet. Files are taken in the order of their times, in
+    batches of at most so many files or bytes.
+    """
+    reader = spark.readStream.schema(EVENTS_STREAM_SCHEMA)
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(folder)
+    if max_bytes_per_trigger is not None:
+        reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
+    name = file_glob or "events.parquet"
+    found = _found(spark, f"{folder}/{name}")
+    if not found:
+        raise FileNotFoundError(f"no {name} in {folder}")
+    if file_glob is None and found[0].isDirectory():
+        return reader.parquet(f"{folder}/{name}")
+    return reader.option("pathGlobFilter", name).parquet(folder)
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:

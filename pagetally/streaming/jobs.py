@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from pagetally.session import shared_dir
 
@@ -49,38 +50,84 @@ def deduplicate(events: DataFrame, delay: str = "1 hour", spread: int = 32) -> D
 
 def append_available(
     rows: DataFrame, output: str, checkpoint: str, state_partitions: int | None = None
-) -> None:
+) -> int:
     """Append what has arrived since the last run with this checkpoint, then stop.
 
-    The parquet sink logs finished batches, so a run repeated after a failure
-    adds nothing twice. Adaptive execution does not size stateful shuffles: their
-    number of partitions is taken from ``state_partitions``, or else the session,
-    on the first run, and stays.
+    Returns how many rows came too late and were dropped, as the stateful operators count
+    them: an aggregation counts what is left of late rows after adding them up by task. The
+    parquet sink logs finished batches, so a run repeated after a failure adds nothing
+    twice. Adaptive execution does not size stateful shuffles: their number of partitions
+    is taken from ``state_partitions``, or else the session, on the first run, and stays.
+    The session's setting is changed while the query starts, so plan nothing else in the
+    same session at that moment.
     """
     writer = (
         rows.writeStream.format("parquet")
         .outputMode("append")
         .option("checkpointLocation", checkpoint)
+        .option("path", output)
         .trigger(availableNow=True)
     )
+    return _finish(_start(rows, writer, state_partitions))
+
+
+def _start(rows: DataFrame, writer: DataStreamWriter, state_partitions: int | None) -> StreamingQuery:
     conf, setting = rows.sparkSession.conf, "spark.sql.shuffle.partitions"
     before = conf.get(setting)
     conf.set(setting, str(state_partitions or before))
     try:
-        query = writer.start(output)  # copies the settings
+        return writer.start()  # copies the settings
     finally:
         conf.set(setting, before)
-    query.awaitTermination()
 
 
-def run_once(rows: DataFrame, purpose: str) -> DataFrame:
-    """Run a stream over all files present into the shared folder; read the result.
+def _finish(query: StreamingQuery) -> int:
+    """Wait for the end; the number of rows dropped for being late."""
+    dropped: dict[int, int] = {}
+
+    def look() -> None:
+        # Only the last batches are kept, so look often.
+        for progress in query.recentProgress:
+            dropped[progress.batchId] = sum(s.numRowsDroppedByWatermark for s in progress.stateOperators)
+
+    while not query.awaitTermination(1):
+        look()
+    look()
+    return sum(dropped.values())
 
-    It gets one state partition per core of the cluster.
+
+def run_complete(rows: DataFrame, purpose: str, state_partitions: int | None = None) -> DataFrame:
+    """Run an aggregating stream over a finished folder and read its whole result.
+
+    In complete mode no group stays open and no row is too late.
     """
     spark = rows.sparkSession
     base = shared_dir(spark, purpose)
-    append_available(
-        rows, f"{base}/rows", f"{base}/checkpoint", spark.sparkContext.defaultParallelism
+
+    def keep(result: DataFrame, _: int) -> None:
+        result.write.mode("overwrite").parquet(f"{base}/rows")
+
+    keep(spark.createDataFrame([], rows.schema), -1)
+    writer = (
+        rows.writeStream.outputMode("complete").foreachBatch(keep)
+        .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
     )
+    _finish(_start(rows, writer, state_partitions))
     return spark.read.schema(rows.schema).parquet(f"{base}/rows")
+
+
+def deduplicate_finished(events: DataFrame) -> DataFrame:
+    """``deduplicate`` for a folder that is complete: every event once, whenever its copies came.
+
+    Of copies that differ the one with the earliest time is kept, unknown times last, and
+    among equal times the one with the smallest other columns. Events without an id are
+    all kept. Copies are thinned out before the shuffle, so no state and no group grows
+    with the number of copies.
+    """
+    others = [c for c in events.columns if c not in ("event_id", "ts")]
+    order = F.struct(F.col("ts").isNull().alias("unknown"), "ts", *others)
+    first = (
+        events.where(F.col("event_id").isNotNull()).groupBy("event_id").agg(F.min(order).alias("kept"))
+        .select("event_id", "kept.*")
+    )
+    return first.select(*events.columns).union(events.where(F.col("event_id").isNull()))

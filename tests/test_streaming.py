@@ -8,11 +8,13 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from pagetally.plans.reports import REPORTS
 from pagetally.session import shared_dir
 from pagetally.sources.tables import stream_events
 from pagetally.streaming import jobs
 
 DAY = datetime(2024, 1, 1)
+GLOB = "events-*.parquet"
 
 
 def add_file(folder, number, rows):
@@ -50,8 +52,11 @@ def test_daily_counts_late_rows_and_open_days(spark, folder):
     add_file(folder, 1, [(100, at(hours=23, minutes=30), "view"), (101, at(days=1, hours=2), "click")])
     add_file(folder, 2, [(200, at(hours=5), "view"), (201, at(days=1, hours=3), "view")])
     add_file(folder, 3, [(300, at(hours=6), "view"), (301, at(days=3), "view")])
-    stream = stream_events(spark, folder, max_files_per_trigger=1)
-    got = counts(jobs.run_once(jobs.daily_counts(stream), "test"))
+    stream = stream_events(spark, folder, GLOB, max_files_per_trigger=1)
+    base = shared_dir(spark, "test")
+    late = jobs.append_available(jobs.daily_counts(stream), f"{base}/rows", f"{base}/checkpoint")
+    got = counts(spark.read.parquet(f"{base}/rows"))
+    assert late == 1
     # Late rows are judged by the watermark of the batch before: 100 and 200 still
     # find their day open, 300 does not. The last day stays open.
     assert got == {
@@ -66,23 +71,60 @@ def test_rows_too_late_are_dropped_and_counted(spark, folder):
     add_file(folder, 1, [(2, at(days=4), "view")])
     add_file(folder, 2, [(3, at(days=0), "view"), (4, at(days=6), "view")])
     base = shared_dir(spark, "late")
-    query = (
-        jobs.daily_counts(stream_events(spark, folder, max_files_per_trigger=1))
-        .writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint")
-        .trigger(availableNow=True).start(f"{base}/rows")
-    )
-    query.awaitTermination()
-    dropped = sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
-    assert dropped == 1
+    stream = stream_events(spark, folder, GLOB, max_files_per_trigger=1)
+    assert jobs.append_available(jobs.daily_counts(stream), f"{base}/rows", f"{base}/checkpoint") == 1
     assert counts(spark.read.parquet(f"{base}/rows")) == {
         (at(days=2).date(), "view"): 1, (at(days=4).date(), "view"): 1}
 
 
+def test_a_finished_folder_has_every_day_whatever_the_batches(spark, folder):
+    add_file(folder, 0, [(1, at(days=2), "view"), (9, None, "view")])
+    add_file(folder, 1, [(2, at(days=4), "view")])
+    add_file(folder, 2, [(3, at(days=0), "view"), (4, at(days=6), "view")])
+    want = {(at(days=d).date(), "view"): 1 for d in (0, 2, 4, 6)}
+    for files in (1, None):
+        stream = stream_events(spark, folder, GLOB, max_files_per_trigger=files)
+        assert counts(jobs.run_complete(jobs.daily_counts(stream), "all", state_partitions=3)) == want
+
+
+def test_a_table_that_is_a_folder_streams_like_a_file(spark, tmp_path):
+    rows = [(i, at(hours=i), "view") for i in range(50)]
+    one, many = tmp_path / "one", tmp_path / "many"
+    (many / "events.parquet").mkdir(parents=True)
+    one.mkdir()
+    add_file(str(one), 0, rows)
+    (one / "events-0.parquet").rename(one / "events.parquet")
+    add_file(str(one), 1, rows)  # another name, not part of the table
+    add_file(str(many / "events.parquet"), 0, rows[:20])
+    add_file(str(many / "events.parquet"), 1, rows[20:])
+    got = [counts(REPORTS["stream_daily_counts"](spark, str(f))) for f in (one, many)]
+    assert got[0] == got[1] and sum(got[0].values()) == 50
+
+
+def test_no_events_to_stream_is_an_error(spark, tmp_path):
+    with pytest.raises(FileNotFoundError, match="events.parquet"):
+        stream_events(spark, str(tmp_path))
+
+
+def test_finished_folders_are_deduplicated_without_state(spark):
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    rows = [(1, at(hours=2), 1, "view", 1.0, "a"), (1, at(hours=1), 9, "view", 5.0, None),
+            (1, None, 0, "view", 0.0, None), (2, at(hours=1), 2, "b", 1.0, None), (2, at(hours=1), 2, "a", 2.0, "x"),
+            (3, None, None, None, None, None), (3, None, None, None, None, None),
+            (None, at(hours=1), 1, "view", 1.0, None), (None, at(hours=1), 1, "view", 1.0, None)]
+    rows += [(7, at(days=400), 3, "view", 1.0, "p")] * 500
+    events = spark.createDataFrame(rows, schema).repartition(5)
+    got = jobs.deduplicate_finished(events)
+    assert got.schema == events.schema
+    want = [rows[1], rows[4], rows[5], rows[7], rows[7], rows[-1]]
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+
+
 def test_daily_counts_resume_from_the_checkpoint(spark, folder):
     base = shared_dir(spark, "resume")
     for number in range(4):
         add_file(folder, number, [(number * 10 + i, at(days=number, hours=i), "view") for i in range(10)])
-        stream = stream_events(spark, folder)
+        stream = stream_events(spark, folder, GLOB)
         jobs.append_available(jobs.daily_counts(stream), f"{base}/rows", f"{base}/checkpoint")
     got = counts(spark.read.parquet(f"{base}/rows"))
     assert got == {(at(days=d).date(), "view"): 10 for d in range(3)}
@@ -97,10 +139,10 @@ def test_deduplicate(spark, folder, spread):
     add_file(folder, 0, hot + fresh[:40] + fresh[:40])
     add_file(folder, 1, fresh[30:80] + hot[:50])
     add_file(folder, 2, fresh[60:] + fresh[110:] + [(None, at(minutes=118), "view")] * 3)
-    stream = stream_events(spark, folder, max_files_per_trigger=1)
+    stream = stream_events(spark, folder, GLOB, max_files_per_trigger=1)
     jobs.append_available(jobs.deduplicate(stream, "2 hours", spread), f"{base}/rows", f"{base}/checkpoint")
     add_file(folder, 3, fresh[100:] + [(5000, at(minutes=119), "click")])
-    stream = stream_events(spark, folder, max_files_per_trigger=1)
+    stream = stream_events(spark, folder, GLOB, max_files_per_trigger=1)
     jobs.append_available(jobs.deduplicate(stream, "2 hours", spread), f"{base}/rows", f"{base}/checkpoint")
     got = Counter(r.event_id for r in spark.read.parquet(f"{base}/rows").collect())
     assert got == Counter([7, 5000, *range(1000, 1120), None, None, None])
@@ -110,17 +152,17 @@ def test_days_are_utc_days_in_any_session_zone(spark, folder):
     add_file(folder, 0, [(i, at(hours=i), "view") for i in range(72)])
     spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
     try:
-        got = counts(jobs.run_once(jobs.daily_counts(stream_events(spark, folder)), "zone"))
+        got = counts(jobs.run_complete(jobs.daily_counts(stream_events(spark, folder, GLOB)), "zone"))
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    assert got == {(DAY.date(), "view"): 24, (at(days=1).date(), "view"): 24}
+    assert got == {(at(days=d).date(), "view"): 24 for d in range(3)}
 
 
 def test_state_partitions_are_set_for_the_stream_alone(spark, folder):
     add_file(folder, 0, [(i, at(hours=i), "view") for i in range(30)])
     before = spark.conf.get("spark.sql.shuffle.partitions")
     base = shared_dir(spark, "partitions")
-    unique = jobs.deduplicate(stream_events(spark, folder), spread=1)
+    unique = jobs.deduplicate(stream_events(spark, folder, GLOB), spread=1)
     jobs.append_available(unique, f"{base}/rows", f"{base}/checkpoint", state_partitions=7)
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
     assert len(os.listdir(f"{base}/checkpoint/state/0")) >= 7
