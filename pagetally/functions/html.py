@@ -18,7 +18,12 @@ TEXT_ONLY_ELEMENTS = (
     "iframe", "noembed", "noframes", "script", "style", "textarea", "xmp",
 )
 
-_ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+# A quote opens a value only right after the equals sign; anywhere else it is part of a
+# name or an unquoted value. A quoted value that is never closed takes the rest of the page.
+_VALUE = rf"""(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z)|[^{SPACE}"'>][^{SPACE}>]*+)"""
+_EQUALS = rf"[{SPACE}]*+=[{SPACE}]*+"
+_NAME = rf"[^{SPACE}/>][^{SPACE}/>=]*+"
+_ATTRIBUTES = rf"(?:[{SPACE}/]++|{_NAME}(?:{_EQUALS}{_VALUE}?+)?+)*+"
 _TAG_REST = rf"(?:[{SPACE}/]{_ATTRIBUTES})?+>"
 
 
@@ -40,7 +45,7 @@ def _token_pattern(tags: tuple[str, ...]) -> str:
     alternatives = [
         f"({'|'.join(wanted)})",
         *[_element(name) for name in TEXT_ONLY_ELEMENTS],
-        rf"/?[a-z]{_ATTRIBUTES}>",
+        rf"/?[a-z][^{SPACE}/>]*+{_ATTRIBUTES}>",
         r"/?[a-z].*+\z",
         r"!---?>",
         r"!--[^-]*+(?:-(?!-!?>)[^-]*+)*+(?:--!?>|\z)",
@@ -49,15 +54,11 @@ def _token_pattern(tags: tuple[str, ...]) -> str:
     return f"(?is)<(?:{'|'.join(alternatives)})"
 
 
-_VALUE = rf"""(?:"[^"]*+"|'[^']*+'|[^{SPACE}"'>][^{SPACE}>]*+)"""
-
-
 def _attribute_pattern(tag: str, name: str) -> str:
     """Group 1 is the value, quotes included, of the first such attribute."""
-    equals = rf"[{SPACE}]*+=[{SPACE}]*+"
     return (
-        rf"(?is)^{tag}(?:[{SPACE}/]++|(?!{name}{equals})[^{SPACE}/>=]++(?:{equals}{_VALUE}?+)?+)*+"
-        rf"{name}{equals}({_VALUE})"
+        rf"(?is)^{tag}(?:[{SPACE}/]++|(?!{name}{_EQUALS}){_NAME}(?:{_EQUALS}{_VALUE}?+)?+)*+"
+        rf"{name}{_EQUALS}({_VALUE})"
     )
 
 

@@ -61,6 +61,7 @@ PIECES = [
     '<script>var t="<a href=no></p>";</script>', "<SCRIPT async>if (a<b) '<h1>'</SCRIPT >",
     "<style>p{margin:0}/* <img> */</style>", '<div title="<a href=no>">', "<div title='<h1>'>",
     '<meta charset="utf-8">', '<meta name="keywords" content="x">',
+    "<p class=it's>", '<img alt=5" src=x>', "<p don't>", '<a href="/x"">', "<a href=/y' z>", '<h1 "quoted" x>',
     "<meta content='name=\"description\"'>", "<articles>", "<header>",
 ]
 METAS = ['<meta name="description" content="x">', "<META content=x name=Description>"]
@@ -120,6 +121,13 @@ HARD = {
     "only brackets": ("<" * 1000, 0, 0),
     "comment ends": ("<!--> <a href=1> <!---> <h1> <!-- x --!> <a href=2>", 2, 1),
     "bogus comments": ("<?php <a href=1> ?> <![CDATA[ <h1> ]]> </ <h1> >", 0, 0),
+    "quote in an unquoted value": ("<p class=it's><a href=1><h1>", 1, 1),
+    "inch mark": ('<img alt=5" src=x><a href=1><h1>', 1, 1),
+    "quote in a name": ("<p don't><a href=1><h1>", 1, 1),
+    "a quote too many": ('<a href="/x""><a href=1><h1>', 2, 1),
+    "equals sign first": ('<p ="x"><a href=1><h1>', 1, 1),
+    "two equals signs": ('<p a=="><a href=1><h1>', 1, 1),
+    "spaces around equals": ("<p a = '>' b><a href = 1><h1>", 1, 1),
     "text area": ("<textarea><a href=1><h1></textarea><a href=2>", 1, 0),
 }
 
