@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Values are added up as whole millionths, so that the order of addition does not
-# matter. One that does not fit, such as NaN, fails the job under ANSI mode.
-MILLIONTHS = 1_000_000
+# Values are added up as decimals, so that the order of addition does not matter. A
+# double is taken as the shortest decimal that stands for it.
+EXACT = "decimal(38,20)"
 
 
 def event_report(events: DataFrame) -> DataFrame:
@@ -33,24 +33,38 @@ def event_report(events: DataFrame) -> DataFrame:
 def daily_activity(events: DataFrame, rows: int = 7) -> DataFrame:
     """Users and value per day, and the value over the last ``rows`` days present.
 
+    Sums are exact up to 20 decimals and 10**18. A value or sum beyond that fails the job,
+    as does one that is not zero but would become it. NaN and infinity make the sums of their
+    days what they do in floating point, and touch no other day.
+
     The rolling window has no partition key: it sees one row per calendar day,
     at most about 3.7 million for all dates Spark can hold, never the events.
     """
     trailing = Window.orderBy("day").rowsBetween(1 - rows, Window.currentRow)
+    value = F.col("value")
+    finite = ~F.isnan(value) & (F.abs(value) != float("inf"))
+    exact = F.when(finite, value).cast(EXACT)
+    held = F.when(
+        (exact == 0) & (value != 0),
+        F.raise_error(F.concat(F.lit("value too small to add up: "), value.cast("string"))).cast(EXACT),
+    ).otherwise(exact)
     user_days = (
         events.where(F.col("ts").isNotNull())
         .groupBy(F.to_date("ts").alias("day"), "user_id")
-        .agg(F.sum(F.rint(F.col("value") * MILLIONTHS).cast("bigint")).alias("millionths"))
+        .agg(F.sum(held).alias("exact"), F.sum(F.when(~finite, value)).alias("other"))
     )
     daily = user_days.groupBy("day").agg(
-        F.count("user_id").alias("n_users"),
-        F.sum(F.col("millionths").cast("decimal(28,0)")).alias("millionths"),
-    )
+        F.count("user_id").alias("n_users"), F.sum("exact").alias("exact"), F.sum("other").alias("other"))
+
+    def total(exact: Column, other: Column) -> Column:
+        number = exact.cast("double")
+        return F.when(other.isNull(), number).otherwise(other + F.coalesce(number, F.lit(0.0)))
+
     return daily.select(
         "day",
         "n_users",
-        (F.col("millionths") / MILLIONTHS).cast("double").alias("value"),
-        (F.sum("millionths").over(trailing) / MILLIONTHS).cast("double").alias("rolling_value"),
+        total(F.col("exact"), F.col("other")).alias("value"),
+        total(F.sum("exact").over(trailing), F.sum("other").over(trailing)).alias("rolling_value"),
     )
 
 

@@ -5,27 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagetally.operators.skew import (
-    HOT_MAX_KEYS,
-    HOT_MIN_ROWS,
-    lookup_join,
-    pick_hot,
-    split_by_hot,
-)
-from pagetally.sources.tables import materialize
-
-# Time slice within which a hot user's history is ordered. Times have
+# Time slice within which a user's history is ordered. Times have
 # microseconds, so a slice holds at most 60 million distinct ones.
 SLICE = "1 minute"
 
 
-def last_touch(
-    events: DataFrame,
-    target: str = "purchase",
-    touch: str = "click",
-    min_hot_rows: int = HOT_MIN_ROWS,
-    max_hot_keys: int = HOT_MAX_KEYS,
-) -> DataFrame:
+def last_touch(events: DataFrame, target: str = "purchase", touch: str = "click") -> DataFrame:
     """For each ``target`` event, the same user's last ``touch`` at or before it.
 
     Of touches at the same time the one with the highest ``event_id`` counts.
@@ -45,15 +30,7 @@ def last_touch(
         F.when(is_touch, F.col("ts")).alias("touch_ts"),
         F.when(is_touch, F.col("event_id")).alias("touch_id"),
     )
-    counts = rows.groupBy("user_id").agg(F.count("*").alias("n_rows"))
-    hot_users = materialize(
-        pick_hot(counts, ["user_id"], "n_rows", min_hot_rows, max_hot_keys), "hot-users"
-    )
-    if hot_users.isEmpty():
-        found = _by_user(rows)
-    else:
-        hot, cold = split_by_hot(rows, ["user_id"], hot_users)
-        found = _by_user(cold).unionByName(_by_slice(hot, min_hot_rows, max_hot_keys))
+    found = _by_slice(rows)
     return found.select(
         F.col("event_id").alias(f"{target}_id"),
         "user_id",
@@ -63,36 +40,13 @@ def last_touch(
     )
 
 
-def _by_user(rows: DataFrame) -> DataFrame:
-    """Carry the last touch along each user's rows; one shuffle.
-
-    At equal times touches come first, by id, and then the targets.
-    """
-    up_to_here = (
-        Window.partitionBy("user_id")
-        .orderBy("ts", F.asc_nulls_last("touch_id"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        rows.select(
-            "user_id",
-            "ts",
-            "event_id",
-            F.col("touch_id").isNull().alias("is_target"),
-            F.last("touch_ts", ignorenulls=True).over(up_to_here).alias("touch_ts"),
-            F.last("touch_id", ignorenulls=True).over(up_to_here).alias("touch_id"),
-        )
-        .where(F.col("is_target"))
-        .drop("is_target")
-    )
-
-
-def _by_slice(rows: DataFrame, min_hot_rows: int, max_hot_keys: int) -> DataFrame:
-    """The same for users too large for one task.
+def _by_slice(rows: DataFrame) -> DataFrame:
+    """The last touch of every target, whatever the size of a user.
 
     Rows are reduced to the distinct times of a user. The last touch of earlier
     slices is put in front of each slice, so that every slice can be filled on
-    its own, and the targets then look their time up.
+    its own, and the targets then look their time up, in a plain join whose large
+    partitions adaptive execution may split.
     """
     # Both uses of the points read all their columns, in the same order, so that
     # Spark shuffles them once and reuses the shuffle.
@@ -148,6 +102,4 @@ def _by_slice(rows: DataFrame, min_hot_rows: int, max_hot_keys: int) -> DataFram
         .where(F.col("n_targets") > 0)
     )
     targets = rows.where(F.col("touch_id").isNull()).select("user_id", "ts", "event_id")
-    return lookup_join(
-        targets, filled, ["user_id", "ts"], "n_targets", min_hot_rows, max_hot_keys
-    ).drop("n_targets")
+    return targets.join(filled.drop("n_targets"), ["user_id", "ts"])

@@ -75,7 +75,7 @@ CHECK_SQL: dict[str, str] = {
     "daily_activity": """
         WITH daily AS (
             SELECT CAST(ts AS DATE) AS day, count(DISTINCT user_id) AS n_users,
-                   sum(CAST(value AS DECIMAL(28, 6))) AS total
+                   sum(CAST(value AS DECIMAL(38, 9))) AS total
             FROM events WHERE ts IS NOT NULL GROUP BY 1
         )
         SELECT day, n_users, CAST(total AS DOUBLE) AS value,
