@@ -112,14 +112,16 @@ class Sampler:
 
 
 class Table:
-    """A table bucketed and sorted by its first column, in the shared folder."""
+    """A table bucketed and sorted by its keys, in the shared folder.
 
-    def __init__(self, df: DataFrame, purpose: str):
+    Rows that are dealt by the same keys already fill one file per bucket.
+    """
+
+    def __init__(self, df: DataFrame, purpose: str, keys: tuple[str, ...]):
         self.spark = df.sparkSession
         self.name = f"{purpose}_{uuid.uuid4().hex}"
         self.path = shared_dir(self.spark, purpose)
-        key = df.columns[0]
-        (df.write.bucketBy(partitions_of(self.spark), key).sortBy(key)
+        (df.write.bucketBy(partitions_of(self.spark), *keys).sortBy(*keys)
          .option("path", self.path).format("parquet").saveAsTable(self.name))
 
     def read(self) -> DataFrame:
@@ -141,7 +143,7 @@ class Family:
     def add(self, heads: DataFrame) -> None:
         """Take in a batch, given as one ``head`` per run."""
         counted = heads.groupBy("head").agg(F.count("*").alias("n"))
-        new = Table(counted, "suffixes")
+        new = Table(counted, "suffixes", ("head",))
         repeated = new.read().where("n > 1").select("head")
         for level in self.levels.values():
             older = level.read().select("head")
@@ -153,7 +155,7 @@ class Family:
             a, b = new.read(), other.read().withColumnRenamed("n", "m")
             both = a.join(b, "head", "full").select(
                 "head", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
-            merged = Table(both, "suffixes")
+            merged = Table(both, "suffixes", ("head",))
             new.drop()
             other.drop()
             new, level = merged, level + 1
@@ -373,7 +375,7 @@ def repeated_spans(
     ids = materialize(_keyed(docs, id_col, text_col), "ids")
     texts = _packed(docs, id_col, text_col).groupBy("k1", "k2").agg(
         F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("packed").alias("packed"))
-    store = Table(texts, "texts")
+    store = Table(texts, "texts", ("k1", "k2"))
 
     family = Family(spark)
     for b in range(batches):
