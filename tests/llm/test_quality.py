@@ -1,0 +1,99 @@
+"""Counts against plain Python, decoding against all label sequences, fitting on made lines."""
+
+import itertools
+import re
+from collections import Counter
+
+import pytest
+
+from pagetally.llm import quality_crf as q
+from tests.llm.cases import ODD_TEXTS, as_set, documents, seeded, words
+
+
+def counts(text):
+    text = text or ""
+    found = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = [tuple(found[i:i + 3]) for i in range(len(found) - 2)]
+    often = Counter(windows)
+    covered = {j for i, w in enumerate(windows) if often[w] > 1 for j in range(i, i + 3)}
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    failed = len(found) < 50 or 100 * len(covered) > 50 * len(found)
+    return (len(found), sum(map(len, found)), sum(c in "#*$%&|<>" for c in text), dup, len(covered), failed)
+
+
+def texts():
+    rng = seeded(3)
+    out = list(ODD_TEXTS)
+    for _ in range(60):
+        lines = [words(rng, rng.randrange(12)) + rng.choice(("", " #*|", "<>", "\x0b", " x")) for _ in range(20)]
+        out.append("\n".join(rng.choices(lines, k=rng.randrange(25))))
+    return out
+
+
+def test_counts(spark):
+    df = documents(spark, texts())
+    got = q.judge(df, q.Field()).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    want = [(i, *counts(t)) for i, t in enumerate(texts())]
+    assert as_set(got.collect()) == as_set(want)
+    assert {w[-1] for w in want} == {True, False}
+
+
+def test_decoding_finds_the_best_of_all_label_sequences():
+    rng = seeded(4)
+    for _ in range(200):
+        field = q.Field(
+            tuple(rng.uniform(-2, 2) for _ in q.FEATURES),
+            tuple(tuple(rng.uniform(-1, 1) for _ in range(2)) for _ in range(2)))
+        lines = [rng.getrandbits(len(q.FEATURES)) for _ in range(rng.randrange(8))]
+        decoder = q.Decoder(field)
+
+        def score(labels):
+            emit = sum(decoder.emission(b) for b, y in zip(lines, labels) if y)
+            return emit + sum(field.transitions[a][b] for a, b in zip(labels, labels[1:]))
+
+        best = max((score(y) for y in itertools.product((0, 1), repeat=len(lines))), default=0)
+        assert score(decoder.labels(lines)) == pytest.approx(best)
+
+
+def junk(rng):
+    return "\n".join(words(rng, 12).upper().replace(" ", "!! ") for _ in range(8))
+
+
+def prose(rng):
+    names = [f"word{i}" for i in range(400)]
+    return "\n".join(words(rng, 15, names).capitalize() + "." for _ in range(8))
+
+
+def test_fitted_field_keeps_prose_and_drops_junk(spark):
+    rng = seeded(5)
+    good, bad = [prose(rng) for _ in range(60)], [junk(rng) for _ in range(60)]
+    df = documents(spark, good + bad + [None])
+    labels = spark.createDataFrame(
+        [(i, int(i < 60)) for i in range(0, 120, 2)] + [(None, 1), (0, None), (999, 0), (0, 1)], "doc_id long, quality int")
+    field = q.fit(df, labels)
+    assert field == q.fit(df.repartition(7), labels.repartition(2))
+    kept = {r.doc_id for r in q.judge(df, field).where("kept").collect()}
+    assert kept == set(range(60))
+    assert {r.doc_id for r in q.keep_good(df, field).collect()} == kept
+    assert q.keep_good(df, field).columns == df.columns
+
+
+def test_mixed_documents_are_judged_by_their_share_of_content(spark):
+    rng = seeded(6)
+    field = q.train([(q.read_document(prose(rng).encode())[1], 1) for _ in range(30)]
+                    + [(q.read_document(junk(rng).encode())[1], 0) for _ in range(30)])
+    mostly = prose(rng) + "\n" + prose(rng) + "\n" + junk(rng).split("\n")[0]
+    row = q.judge(documents(spark, [mostly]), field).head()
+    assert row.kept and row.content_words > 200
+
+
+def test_nothing_to_learn_from(spark):
+    df = documents(spark, ["a b"])
+    for labels in ([], [(0, 1)]):
+        assert q.fit(df, spark.createDataFrame(labels, "doc_id long, quality int")) == q.Field()
+    assert q.judge(documents(spark, []), q.Field()).isEmpty()
