@@ -39,7 +39,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagetally.llm.common import id_type, record_batch
+from pagetally.llm.common import id_type, partitions_of, record_batch
 from pagetally.session import shared_dir
 from pagetally.sources.tables import materialize
 
@@ -50,6 +50,8 @@ PACKAGE = "datapackage.json"
 DATE = "1970-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LIST_AT_ONCE = 10_000
+# Records of so many bytes of an archive are read by one task.
+READ_TOGETHER = 4 << 20
 
 # Signatures and sizes of ZIP structures.
 END, END_SIZE = b"PK\x05\x06", 22
@@ -358,6 +360,9 @@ def read_records(records: DataFrame, with_payload: bool = True) -> DataFrame:
         if file is not None:
             file.close()
 
-    spread = records.repartition("path", F.floor(F.col("at") / (64 << 20))).sortWithinPartitions("path", "at")
+    # A fixed number of tasks: adaptive execution would judge by the few bytes of the listing.
+    spread = records.repartition(
+        partitions_of(records.sparkSession), "path", F.floor(F.col("at") / READ_TOGETHER)
+    ).sortWithinPartitions("path", "at")
     return spread.mapInArrow(run, "page string, url string, payload_bytes long, payload_digest string, "
                                   "record_type string, refers_to string, payload binary")
