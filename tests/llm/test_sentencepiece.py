@@ -99,8 +99,7 @@ def test_encode_and_decode_documents(spark):
     rng = seeded(7)
     texts = ODD_TEXTS + [words(rng, 200) for _ in range(20)] + ["long " * 200_000]
     df = documents(spark, texts)
-    encoded = sc.encode(df, PATH, keep=("text", "ids")).withColumnRenamed("ids", "x") if False else sc.encode(
-        df, PATH, keep=("text",))
+    encoded = sc.encode(df, PATH, keep=("text",))
     got = sc.decode(encoded, PATH).withColumn("covered", sc.span_bytes()).collect()
     assert len(got) == len(texts)
     for r in got:
