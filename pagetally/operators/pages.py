@@ -61,11 +61,11 @@ def duplicate_titles(pages: DataFrame) -> DataFrame:
 
 def canonical_groups(pages: DataFrame) -> DataFrame:
     """Canonical URLs that more than one page falls under."""
+    # URLs without a host count as zero; a filter would take their address apart twice.
     return (
         pages.select(urls.canonical("url").alias("canonical_url"))
-        .where(F.col("canonical_url").isNotNull())
         .groupBy("canonical_url")
-        .agg(F.count("*").alias("n_pages"))
+        .agg(F.count("canonical_url").alias("n_pages"))
         .where(F.col("n_pages") > 1)
     )
 

@@ -10,9 +10,8 @@ import uuid
 from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
-# Adaptive execution sizes the shuffles at run time, so the initial partition
-# number only has to be large enough; it is left to the cluster's own default
-# unless the caller gives one.
+# Adaptive execution merges shuffle partitions that turn out small but adds none, so a
+# large run has to set ``spark.sql.shuffle.partitions``: about the input in units of 128 MB.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
