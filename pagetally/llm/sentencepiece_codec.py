@@ -38,7 +38,7 @@ SPACE_MARK = "▁"
 MARK = SPACE_MARK.encode()
 REPLACEMENT = "�".encode()
 MAX_MODEL_BYTES = 64 << 20
-REMEMBERED_CHUNKS = 1 << 19
+REMEMBERED_CHUNKS = 1 << 18
 REMEMBERED_LENGTH = 64
 BATCH_BYTES = 2 << 20
 
