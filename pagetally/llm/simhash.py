@@ -123,8 +123,9 @@ def near_copies(
     joined = found.join(classes.withColumnRenamed("fp", "node"), "node")
     names = joined.groupBy("component").agg(F.min("first").alias("component_id"))
     named = joined.join(names, "component").select(F.col("node").alias("fp"), "component_id")
-    per_class = classes.join(named, "fp", "left").select(
-        "fp", F.coalesce("component_id", "first").alias("component_id"))
+    # Written out, so that the last join is a plain one whose large partitions can be split.
+    per_class = materialize(classes.join(named, "fp", "left").select(
+        "fp", F.coalesce("component_id", "first").alias("component_id")), "named")
     return prints.join(per_class, "fp").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
