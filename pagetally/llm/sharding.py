@@ -105,8 +105,9 @@ def assign(
     total = base.count()
     quota = {s: total // shards + (s < total % shards) for s in range(shards)}
     fits = max(1, total // shards)
-    groups = base.groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1").select(
-        "text_key", F.ceil(F.col("n") / fits).cast("int").alias("parts"))
+    # Written out, so that the join is a plain one whose large partitions can be split.
+    groups = materialize(base.groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1").select(
+        "text_key", F.ceil(F.col("n") / fits).cast("int").alias("parts")), "groups")
     part = F.pmod(F.xxhash64("row"), F.col("parts")).cast("string")
     linked = base.join(groups, "text_key").select("row", F.concat_ws("-", "text_key", part).alias("grp"))
     spread = numbered(materialize(linked, "linked"), [], "nth")
