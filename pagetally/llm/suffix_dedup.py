@@ -19,8 +19,10 @@ scans and merges need no shuffle, and no head, however frequent, is more than on
 **Matches.** Runs of noted heads are read again. Runs with equal bytes are repeated as a
 whole. What remains are runs at the edges of repeated passages; the windows of those and of one
 run of each kind with the same head are compared as bytes in one task, if there are at most
-``SMALL_GROUP`` of them, and otherwise dealt out by 128-bit hash of the window, which splits
-any head.
+``SMALL_GROUP`` of them. Runs of a more frequent head are halved and halved again instead (in
+``SPLIT`` parts each time, by the distance of the window from its head): a part whose
+windows have nothing in common that occurs elsewhere is done, so is a part that occurs
+elsewhere as a whole, and only what lies between is split further.
 
 Texts are stored once in compressed form, keyed by a 128-bit hash, so a text with thousands of
 copies costs as much as one; copies are repeated as a whole by definition.
@@ -53,6 +55,7 @@ HEAD = 40
 HEADS_IN_WINDOW = LENGTH - HEAD + 1
 BATCHES = 4
 SMALL_GROUP = 1024
+SPLIT = 4
 # Long texts are sampled in pieces of so many windows; a place in a piece takes 20 bits.
 PIECE = (1 << 20) - LENGTH
 PLACES = np.uint64((1 << 20) - 1)
@@ -102,13 +105,14 @@ class Sampler:
             done += step
         return hashes, (least & PLACES).astype(np.int64)
 
-    def runs(self, data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Heads, first and last window starts of the runs of a text."""
+    def runs(self, data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Heads and their places, first and last window starts of the runs of a text."""
         for begin in range(0, max(0, len(data) - LENGTH + 1), PIECE):
             hashes, places = self._piece(data[begin:begin + PIECE + LENGTH - 1])
             firsts = np.concatenate(([0], np.flatnonzero(places[1:] != places[:-1]) + 1))
             lasts = np.append(firsts[1:], len(places)) - 1
-            yield hashes[places[firsts]].view(np.int64), firsts + begin, lasts + begin
+            own = places[firsts]
+            yield hashes[own].view(np.int64), own + begin, firsts + begin, lasts + begin
 
 
 class Table:
@@ -224,7 +228,7 @@ def _heads(store: DataFrame) -> DataFrame:
         schema, held, size = pa.schema([("head", pa.int64())]), [], 0
         for batch in batches:
             for packed in batch.column("packed"):
-                for heads, _, _ in sampler.runs(unpack(packed.as_py())):
+                for heads, _, _, _ in sampler.runs(unpack(packed.as_py())):
                     held.append((heads,))
                     size += len(heads)
                 if size > FLUSH_ROWS:
@@ -237,9 +241,8 @@ def _heads(store: DataFrame) -> DataFrame:
 
 
 def _runs(store: DataFrame) -> DataFrame:
-    """(head, k1, k2, first, last, same) of every run; ``same`` hashes its bytes."""
-    fields = [("head", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()),
-              ("first", pa.int64()), ("last", pa.int64()), ("same", pa.int64())]
+    """(head, k1, k2, place, first, last, same) of every run; ``same`` hashes its bytes."""
+    fields = [(c, pa.int64()) for c in ("head", "k1", "k2", "place", "first", "last", "same")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, unpack = Sampler(), zstandard.ZstdDecompressor().decompress
@@ -247,11 +250,11 @@ def _runs(store: DataFrame) -> DataFrame:
         for batch in batches:
             for k1, k2, packed in zip(*(batch.column(c) for c in ("k1", "k2", "packed")), strict=True):
                 data = unpack(packed.as_py())
-                for heads, firsts, lasts in sampler.runs(data):
+                for heads, places, firsts, lasts in sampler.runs(data):
                     spans = zip(firsts.tolist(), (lasts + LENGTH).tolist(), strict=True)
                     same = np.frombuffer(b"".join([digest(data[a:b], SEED) for a, b in spans]), np.int64)
                     own = np.ones(len(heads), np.int64)
-                    held.append((heads, own * k1.as_py(), own * k2.as_py(), firsts, lasts, same))
+                    held.append((heads, own * k1.as_py(), own * k2.as_py(), places, firsts, lasts, same))
                     size += len(heads)
                 if size > FLUSH_ROWS:
                     yield _rows_out(schema, held)
@@ -260,17 +263,17 @@ def _runs(store: DataFrame) -> DataFrame:
             yield _rows_out(schema, held)
 
     return store.select("k1", "k2", "packed").mapInArrow(
-        run, "head long, k1 long, k2 long, first long, last long, same long")
+        run, "head long, k1 long, k2 long, place long, first long, last long, same long")
 
 
 def _edges(store: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes of wanted runs: (head, k1, k2, first, last, size, bytes)."""
+    """The bytes of wanted runs: (head, k1, k2, place, first, last, size, bytes)."""
     lists = wanted.groupBy("k1", "k2").agg(
-        F.collect_list(F.struct("head", "first", "last", "size")).alias("runs"))
+        F.collect_list(F.struct("head", "place", "first", "last", "size")).alias("runs"))
     joined = store.select("k1", "k2", "packed").join(lists, ["k1", "k2"])
-    schema = "head long, k1 long, k2 long, first long, last long, size long, bytes binary"
-    out = pa.schema([("head", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int64()),
-                     ("last", pa.int64()), ("size", pa.int64()), ("bytes", pa.binary())])
+    schema = "head long, k1 long, k2 long, place long, first long, last long, size long, bytes binary"
+    out = pa.schema([*[(c, pa.int64()) for c in ("head", "k1", "k2", "place", "first", "last", "size")],
+                     ("bytes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -280,7 +283,7 @@ def _edges(store: DataFrame, wanted: DataFrame) -> DataFrame:
                     *(batch.column(c) for c in ("k1", "k2", "packed", "runs")), strict=True):
                 data, k1, k2 = unpack(packed.as_py()), k1.as_py(), k2.as_py()
                 for r in runs.as_py():
-                    rows.append((r["head"], k1, k2, r["first"], r["last"], r["size"],
+                    rows.append((r["head"], k1, k2, r["place"], r["first"], r["last"], r["size"],
                                  data[r["first"]:r["last"] + LENGTH]))
                 if len(rows) > 10_000:
                     yield record_batch(out, [list(c) for c in zip(*rows, strict=True)])
@@ -338,29 +341,53 @@ def _compare_small(edges: DataFrame) -> DataFrame:
         run, "k1 long, k2 long, first long, last long")
 
 
-def _compare_large(edges: DataFrame) -> DataFrame:
-    """The same for heads of any number of runs, dealt out by window."""
-    out = pa.schema([(c, pa.int64()) for c in ("w1", "w2", "k1", "k2", "first")])
+def _parts(runs: DataFrame, width: int) -> DataFrame:
+    """Runs cut into parts of windows whose distance from the head lies in one ``width``.
+
+    ``core`` hashes the bytes that all windows of such a width have in common, ``same`` the
+    bytes and distances of the part. Two equal windows lie in parts of the same core.
+    """
+    names = ("head", "core", "same", "k1", "k2", "place", "first", "last")
+    out = pa.schema([*[(c, pa.int64()) for c in names], ("bytes", pa.binary())])
+
+    def signed(digest: bytes) -> int:
+        return int.from_bytes(digest, "big", signed=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
+        digest = xxhash.xxh3_64_digest
         for batch in batches:
-            for k1, k2, first, data in zip(
-                    *(batch.column(c) for c in ("k1", "k2", "first", "bytes")), strict=True):
-                data = data.as_py()
-                n = len(data) - LENGTH + 1
-                hashes = np.frombuffer(
-                    b"".join([digest(data[i:i + LENGTH], SEED) for i in range(n)]), np.int64).reshape(n, 2)
-                own = np.ones(n, np.int64)
-                yield _rows_out(out, [(hashes[:, 0], hashes[:, 1], own * k1.as_py(), own * k2.as_py(),
-                                       np.arange(n, dtype=np.int64) + first.as_py())])
-
-    windows = edges.select("k1", "k2", "first", "bytes").mapInArrow(
-        run, "w1 long, w2 long, k1 long, k2 long, first long")
-    windows = materialize(windows, "windows")
-    shared = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    return windows.join(shared, ["w1", "w2"], "left_semi").select(
-        "k1", "k2", "first", F.col("first").alias("last"))
+            rows = []
+            for head, k1, k2, place, first, last, data in zip(*(
+                    batch.column(c).to_pylist() for c in ("head", "k1", "k2", "place", "first", "last", "bytes")),
+                    strict=True):
+                for part in range((place - last) // width, (place - first) // width + 1):
+                    near, far = part * width, part * width + width - 1
+                    a, b = max(first, place - far), min(last, place - near)
+                    core = data[place - near - first:place - far + LENGTH - first]
+                    own = data[a - first:b + LENGTH - first]
+                    rows.append((head, signed(digest(core, part)),
+                                 signed(digest(own, (place - a) * LENGTH + place - b)), k1, k2, place, a, b, own))
+            yield record_batch(out, [list(c) for c in zip(*rows, strict=True)] or [[] for _ in out])
+
+    return runs.select("head", "k1", "k2", "place", "first", "last", "bytes").mapInArrow(
+        run, "head long, core long, same long, k1 long, k2 long, place long, first long, last long, bytes binary")
+
+
+def _compare_large(edges: DataFrame) -> DataFrame:
+    """The same for heads of any number of runs, by splitting runs further and further."""
+    keys, found, width = ["head", "core", "same"], None, HEADS_IN_WINDOW
+    while width > 1 and not edges.isEmpty():
+        width = -(-width // SPLIT)
+        parts = materialize(_parts(edges, width), "parts")
+        one = F.struct("k1", "k2", "place", "first", "last", "bytes")
+        kinds = materialize(parts.groupBy(*keys).agg(F.count("*").alias("n"), F.first(one).alias("one")), "kinds")
+        whole = parts.join(kinds.where("n > 1").select(*keys), keys, "left_semi").select("k1", "k2", "first", "last")
+        found = whole if found is None else found.union(whole)
+        sizes = materialize(kinds.groupBy("head", "core").agg(
+            F.count("*").alias("size"), F.min("n").alias("fewest")).where("fewest = 1 AND size > 1"), "sizes")
+        edges = kinds.join(sizes.select("head", "core"), ["head", "core"]).select("head", "one.*")
+    empty = edges.select("k1", "k2", "first", "last").limit(0)
+    return empty if found is None else found
 
 
 def repeated_spans(
@@ -386,9 +413,9 @@ def repeated_spans(
     runs = materialize(_runs(store.read()).join(noted, "head"), "runs")
     kinds = materialize(
         runs.groupBy("head", "same").agg(
-            F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first", "last")).alias("one")), "kinds")
-    sizes = kinds.groupBy("head").agg(F.count("*").alias("size"), F.min("n").alias("fewest")).where(
-        "fewest = 1 AND size > 1")
+            F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place", "first", "last")).alias("one")), "kinds")
+    sizes = materialize(kinds.groupBy("head").agg(
+        F.count("*").alias("size"), F.min("n").alias("fewest")).where("fewest = 1 AND size > 1"), "sizes")
     wanted = kinds.join(sizes, "head").select("head", "size", "one.*")
     edges = materialize(_edges(store.read(), wanted), "edges")
     parts = _compare_small(edges.where(F.col("size") <= SMALL_GROUP)).union(
