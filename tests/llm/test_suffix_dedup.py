@@ -59,7 +59,7 @@ def rows():
 
 @pytest.mark.parametrize("small_group, batches", [(sd.SMALL_GROUP, sd.BATCHES), (1, 3)])
 def test_removed_bytes(spark, rows, monkeypatch, small_group, batches):
-    """Windows compared in one task, and all of them dealt out by hash."""
+    """Windows compared in one task, and all of them by splitting runs."""
     monkeypatch.setattr(sd, "SMALL_GROUP", small_group)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = expected(rows)
@@ -78,14 +78,14 @@ def test_long_texts_are_sampled_in_pieces(monkeypatch):
     data = bytes(rng.integers(97, 105, 5000, np.uint8))
     whole = sd.Sampler()
     heads = {}
-    for found, firsts, lasts in whole.runs(data):
+    for found, _, firsts, lasts in whole.runs(data):
         for head, first, last in zip(found, firsts, lasts):
             for p in range(first, last + 1):
                 heads[data[p:p + sd.LENGTH]] = head
     monkeypatch.setattr(sd, "PIECE", 700)
     seen = 0
     for shift in (0, 1, 333):
-        for found, firsts, lasts in sd.Sampler().runs(data[shift:]):
+        for found, _, firsts, lasts in sd.Sampler().runs(data[shift:]):
             for head, first, last in zip(found, firsts, lasts):
                 for p in range(first, last + 1):
                     assert heads[data[shift + p:shift + p + sd.LENGTH]] == head
