@@ -42,7 +42,6 @@ PARTS = ("array<struct<type:string,text:string,ref:string,width:int,height:int,"
 
 _CONTROL = re.compile(r"<(\\*)\|")
 _ESCAPED = re.compile(r"<\\(\\*)\|")
-_PLACEHOLDER = re.compile(r"<\|(image|audio|document)_(\d+)\|>")
 
 
 def escape(text: str) -> str:
