@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import functools
 import uuid
 
 from pyspark import SparkContext
@@ -45,6 +44,9 @@ def build_session(
     return builder.getOrCreate()
 
 
+_used_roots: set[str] = set()
+
+
 def _local_path(spark: SparkSession, root: str) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() == "file"
@@ -66,21 +68,17 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     are not read yet may need the folder, so it is deleted when the Python process ends.
     """
     root = work_root(spark)
-    _delete_at_exit(root)
+    if root not in _used_roots:
+        _used_roots.add(root)
+        atexit.register(_delete_quietly, root, spark._jsc.hadoopConfiguration())
     return f"{root}/{purpose}-{uuid.uuid4().hex}"
 
 
-@functools.cache
-def _delete_at_exit(root: str) -> None:
-    atexit.register(_delete_quietly, root)
-
-
-def _delete_quietly(root: str) -> None:
+def _delete_quietly(root: str, configuration) -> None:
     # The session may have been stopped by now; its Java process is still there.
     with contextlib.suppress(Exception):
-        jvm = SparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+        path = SparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(configuration).delete(path, True)
 
 
 def discard(spark: SparkSession, path: str) -> None:
