@@ -15,6 +15,15 @@ Defined results: a null text has no words; documents without words have fingerpr
 and are linked like any other; a text of fewer than three words is one shingle; rows that
 repeat an id are separate documents with the same id; a component is named by the smallest
 non-null id in it (null if there is none); an empty table gives no rows.
+
+``similar_copies`` is for a similarity instead of a distance. Two texts whose shingles agree
+to 0.8 (Jaccard) have fingerprints about ten bits apart, where blocks would have to be so
+short that nearly all pairs meet. It takes candidates by the ``SMALLEST`` smallest shingle
+hashes of each text and decides them on all shingles. Two texts with up to 90 distinct
+shingles together are always found, as those hold a prefix that similar texts must share; of
+longer ones a pair of just 0.8 is missed by chance, in less than one of 10^8 cases. Links
+found through the first text of a bucket spare the pairs inside a component; what is left is
+compared pair by pair, so every candidate pair is either decided or already connected.
 """
 
 from __future__ import annotations
@@ -36,6 +45,10 @@ BITS_APART = 2
 BLOCK_PAIRS = ((0, 16), (0, 32), (0, 48), (16, 32), (16, 48), (32, 48))
 MAX_BUCKET = 64
 HASHES_AT_ONCE = 1 << 16
+SMALLEST = 24
+# Of the SMALLEST hashes of two long texts together, so many at least are in both.
+SHARED_OF_SMALLEST = 6
+SIMILARITY = 0.8
 
 
 def fingerprint(text: bytes | None, shingle_words: int = 3) -> int:
@@ -131,3 +144,104 @@ def near_copies(
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+def shingle_hashes(text: bytes | None, shingle_words: int = 5) -> np.ndarray:
+    """The distinct hashes of a text's shingles, as sorted signed longs."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.empty(0, np.int64)
+    joined = b" ".join(words)
+    width = min(shingle_words, len(words))
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = np.concatenate(([0], ends[:-1]))[: len(words) - width + 1].tolist()
+    ends = (ends[width - 1:] - 1).tolist()
+    hashes = (xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True))
+    return np.unique(np.fromiter(hashes, np.uint64, len(starts)).view(np.int64))
+
+
+def _smallest(rows: DataFrame, shingle_words: int) -> DataFrame:
+    """(row, digest, n, low): digest of all shingles, their number and the smallest ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = pa.schema([("row", pa.int64()), ("digest", pa.string()), ("n", pa.int64()),
+                         ("low", pa.list_(pa.int64()))])
+        for batch in batches:
+            columns = [[], [], [], []]
+            for key, text in utf8_rows(batch):
+                hashes = shingle_hashes(text, shingle_words)
+                found = key, xxhash.xxh3_128_hexdigest(hashes.tobytes()), len(hashes), hashes[:SMALLEST].tolist()
+                for column, value in zip(columns, found, strict=True):
+                    column.append(value)
+            yield record_batch(out, columns)
+
+    return rows.mapInArrow(run, "row long, digest string, n long, low array<long>")
+
+
+def _all_shingles(rows: DataFrame, shingle_words: int) -> DataFrame:
+    """(node, hashes) per row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = pa.schema([("node", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+        for batch in batches:
+            for key, text in utf8_rows(batch):
+                yield record_batch(out, [[key], [shingle_hashes(text, shingle_words)]])
+
+    return rows.mapInArrow(run, "node long, hashes array<long>")
+
+
+def _alike(pairs: DataFrame, rows: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) of rows whose shingles are similar."""
+    pairs = materialize(pairs.distinct(), "pairs")
+    nodes = pairs.select("u").union(pairs.select("v")).distinct()
+    texts = rows.join(nodes, rows["id"] == nodes["u"], "left_semi").select("id", "text")
+    sets = materialize(_all_shingles(texts, shingle_words), "shingles")
+    of = lambda c: sets.select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}"))
+    both = F.size(F.array_intersect("of_u", "of_v"))
+    union = F.size("of_u") + F.size("of_v") - both
+    found = pairs.join(of("u"), "u").join(of("v"), "v").where(both >= similarity * union - 1e-9)
+    return materialize(found.select("u", "v"), "alike")
+
+
+def similar_copies(
+    docs: DataFrame, row_col: str, text_col: str = "text",
+    shingle_words: int = 5, similarity: float = SIMILARITY,
+) -> DataFrame:
+    """(row, component) per row of ``docs``: the smallest row that similar texts lead to.
+
+    ``row_col`` is a long that is unique and stays the same when ``docs`` is read again. Texts
+    without words are alike. A similarity below ``SIMILARITY`` would need more hashes.
+    """
+    if similarity < SIMILARITY:
+        raise ValueError(f"similarity below {SIMILARITY}")
+    rows = slim(docs, row_col, text_col)
+    found = materialize(_smallest(rows, shingle_words), "smallest")
+    classes = materialize(found.groupBy("digest").agg(
+        F.min("row").alias("node"), F.first("n").alias("n"), F.first("low").alias("low")), "classes")
+    prefix = F.least(F.size("low"), (F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1).cast("int"))
+    keys = classes.where("n > 0").select("node", "n", "low", F.explode(F.slice("low", F.lit(1), prefix)).alias("key"))
+    sizes = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("first")).where("members > 1")
+    shared = materialize(keys.join(sizes, "key"), "shared")
+    side = lambda df, c: df.select(
+        "key", "label", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("low").alias(f"low_{c}"))
+
+    def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
+        met = side(left, "u").join(side(right, "v").withColumnRenamed("label", "other"), "key").where("label <> other")
+        sized = met.where(F.least("n_u", "n_v") >= F.lit(similarity) * F.greatest("n_u", "n_v") - 1e-9)
+        lowest = F.slice(F.array_sort(F.array_union("low_u", "low_v")), 1, SMALLEST)
+        both = F.size(F.array_intersect(F.array_intersect(lowest, "low_u"), "low_v"))
+        return sized.where((F.least("n_u", "n_v") < SMALLEST) | (both >= SHARED_OF_SMALLEST)).select("u", "v")
+
+    fresh = shared.withColumn("label", F.col("node"))
+    links = _alike(candidates(fresh.where("node = first"), fresh), rows, shingle_words, similarity)
+    linked = connected_components(links)
+    named = materialize(shared.join(linked, "node", "left").select(
+        "key", "node", "n", "low", "first", F.coalesce("component", "node").alias("label")), "named")
+    # Only buckets that still hold several components have pairs to decide.
+    open_keys = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
+    rest = materialize(named.join(open_keys, "key", "left_semi").where("node <> first"), "rest")
+    more = _alike(candidates(rest, rest).where("u < v"), rows, shingle_words, similarity)
+    ends = connected_components(links.union(more))
+    of_class = materialize(classes.join(ends, "node", "left").select(
+        "digest", F.coalesce("component", "node").alias("component")), "ends")
+    return found.join(of_class, "digest").select(F.col("row").alias(row_col), "component")
