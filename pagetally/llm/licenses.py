@@ -6,6 +6,12 @@ of one of its rules follow one another in the text, with at most ``MAX_GAP`` unk
 sentences between two of them. Known sentences that belong to no rule found are reported
 as well, so that parts of a licence text do not go unnoticed.
 
+A known sentence may be wrapped: a single line break, with comment marks around it, is white
+space, while a blank line ends a sentence. It has to begin and end where a line or a sentence
+does. Some standard texts have an end (colon, semicolon, blank line) inside what is known as
+one sentence; ``ENDS_INSIDE`` says where. ``n_sentences`` counts lines as sentences.
+Unknown lines that no end divides are one sentence for ``MAX_GAP``.
+
 The knowledge is a fixed list of sentences and rules; other lists can be given.
 
 Defined results: a null or empty text holds nothing; every row is scanned for itself, repeated
@@ -94,7 +100,15 @@ RULES = (
     ("LicenseRef-reserved", ("reserved",)),
 )
 
-SENTENCE_END = r"[.!?;:]+(?:\s+|$)|\n+"
+# The words before an end inside a known sentence.
+ENDS_INSIDE = {
+    "apache-copy": "you may obtain a copy of the license at",
+    "gpl-redistribute": "this program is free software",
+    "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty",
+}
+
+END_MARK = r"[.!?;:]+(?:\s+|$)"
+SENTENCE_END = END_MARK + r"|\n+"
 NOT_A_WORD = r"[^\p{L}\p{N}\n]+"
 
 
@@ -105,25 +119,51 @@ def rule_pattern(ids: tuple[str, ...], max_gap: int = MAX_GAP) -> str:
     return "(?:^| )" + gap.join(f"{i} " for i in ids)
 
 
-def sentences(text: Column) -> Column:
-    """Sentences of a text in normal form, empty ones left out."""
-    marked = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SENTENCE_END, "\n")
-    words = F.regexp_replace(marked, NOT_A_WORD, " ")
-    trimmed = F.transform(F.split(words, "\n"), lambda s: F.trim(s))
-    return F.filter(trimmed, lambda s: s != "")
+def sentence_pattern(known: dict[str, str], ends_inside: dict[str, str]) -> str:
+    """A pattern for known sentences in text made by ``_marked``, longer ones first."""
+    within = r"(?: ?\n ?| )"
+    forms = []
+    for name, sentence in sorted(known.items(), key=lambda k: (-len(k[1]), k)):
+        words = [re.escape(w) for w in sentence.split()]
+        form = within.join(words)
+        head = ends_inside.get(name, "").split()
+        if head:
+            form = within.join(words[:len(head)]) + r"[ \n]+" + within.join(words[len(head):])
+        forms.append(form)
+    return rf"(?m)^ ?({'|'.join(forms)}) ?$" if forms else "(?!)"
+
+
+def _marked(text: Column) -> Column:
+    """Words in lower case; a line break stays one and the end of a sentence becomes two."""
+    ended = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), END_MARK, "\n\n")
+    return F.regexp_replace(ended, NOT_A_WORD, " ")
+
+
+def _filled(text: Column, end: str) -> Column:
+    return F.filter(F.split(text, end), lambda s: F.trim(F.translate(s, "\n", " ")) != "")
 
 
 def scan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known: dict[str, str] | None = None, rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES,
-    max_gap: int = MAX_GAP,
+    max_gap: int = MAX_GAP, ends_inside: dict[str, str] | None = None,
 ) -> DataFrame:
     """(id, licenses, sentence_ids, n_sentences) per row of ``docs``, the lists sorted or in text order."""
     known = SENTENCES if known is None else known
     table = F.create_map(*map(F.lit, chain.from_iterable((s, i) for i, s in known.items())))
-    named = F.transform("found", lambda s: F.coalesce(F.try_element_at(table, s), F.lit(UNKNOWN)))
-    rows = slim(docs, id_col, text_col).select("id", sentences(F.col("text")).alias("found"))
-    rows = rows.select("id", F.size("found").cast("long").alias("n_sentences"), named.alias("ids"))
+    pattern = sentence_pattern(known, ENDS_INSIDE if ends_inside is None else ends_inside)
+    rows = slim(docs, id_col, text_col).select("id", _marked(F.col("text")).alias("marked"))
+    # Every second part is a known sentence; what is left of a text holds words and line breaks only.
+    parts = F.split(F.regexp_replace("marked", pattern, "\x01$1\x01"), "\x01")
+
+    def names(part: Column, place: Column) -> Column:
+        name = F.try_element_at(table, F.regexp_replace(part, "[ \n]+", " "))
+        unknown = F.transform(_filled(part, r"\n *\n"), lambda s: F.lit(UNKNOWN))
+        return F.when(place % 2 == 1, F.array(F.coalesce(name, F.lit(UNKNOWN)))).otherwise(unknown)
+
+    ids = F.when(F.col("marked").rlike(pattern), F.flatten(F.transform(parts, names)))
+    rows = rows.select("id", F.size(_filled(F.col("marked"), "\n+")).cast("long").alias("n_sentences"),
+                       F.coalesce(ids, F.array().cast("array<string>")).alias("ids"))
     own = F.filter("ids", lambda i: i != UNKNOWN)
     rows = rows.select("id", "n_sentences", own.alias("sentence_ids"),
                        F.when(F.size(own) > 0, F.concat(F.array_join("ids", " "), F.lit(" "))).alias("line"))

@@ -53,3 +53,75 @@ def test_own_knowledge(spark):
     df = documents(spark, ["One; two. Three", "One, two. Three", "One two.\n\n-\nsix\nthree"])
     got = {r.doc_id: r.licenses for r in li.scan(df, known=known, rules=rules, max_gap=1).collect()}
     assert got == {0: [], 1: ["L"], 2: ["L"]}
+
+
+WRAPPED = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+}
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "\r"])
+def test_wrapped_standard_texts(spark, mark):
+    def lines(text):
+        every = ["Copyright (c) 2020 A. Body", *text.split("\n"), "", "code = 1"]
+        return "\n".join(x + mark if mark == "\r" else mark + x for x in every)
+
+    got = {r.doc_id: r for r in li.scan(documents(spark, map(lines, WRAPPED.values()))).collect()}
+    for i, name in enumerate(WRAPPED):
+        assert name in got[i].licenses and set(got[i].licenses) <= {name, "BSD-2-Clause"}
+        ids = next(r for n, r in reversed(li.RULES) if n == name)
+        if name == "MIT":
+            ids = ("mit-grant", "mit-notice", "as-is")
+        assert got[i].sentence_ids == list(ids)
+
+
+def test_lines_and_ends(spark):
+    grant = "Released under the\nMIT License"
+    texts = [grant, "Released under the\n\nMIT License", "Not\n" + grant + "\nat all", "Released under. the MIT License",
+             "One two\nthree", "Released under the\n#\n# MIT License"]
+    got = {r.doc_id: (r.licenses, r.n_sentences) for r in li.scan(documents(spark, texts)).collect()}
+    assert got == {0: (["MIT"], 2), 1: ([], 2), 2: (["MIT"], 4), 3: ([], 2), 4: ([], 2), 5: ([], 2)}
