@@ -3,7 +3,8 @@
 Documents with equal texts are linked. Linked documents start spread evenly over the shards
 and then, round by round, each wants to join the shard that has most of its group.
 Wishes are granted under quotas: from shard a to shard b as many may go as come back, plus
-b's free places shared out over those who want in. No shard ever holds more linked documents
+b's free places shared out over those who want in, to the last place. What a group holds in a
+full shard may join the rest of it in a free one if it goes as a whole. No shard ever holds more linked documents
 than its final number of rows, so documents without links fill the rest and the shards
 end with row counts at most one apart, whatever was moved.
 
@@ -40,11 +41,12 @@ def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.sha2(text, 256).alias("text_key")), "documents")
 
 
-def _round(now: DataFrame, quota: dict[int, int], swap: bool) -> DataFrame:
+def _round(now: DataFrame, quota: dict[int, int], turn: int) -> DataFrame:
     """One round of wishes and moves of (row, grp, shard).
 
-    In a round of swaps full shards may be wished for too.
+    In every other round, one of swaps, full shards may be wished for too.
     """
+    swap = turn % 2 == 1
     spark = now.sparkSession
     held = {r.shard: r.n for r in now.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     free = spark.createDataFrame(
@@ -53,27 +55,38 @@ def _round(now: DataFrame, quota: dict[int, int], swap: bool) -> DataFrame:
     rank = F.struct("n", F.xxhash64("grp", "shard"), "shard")
     best = counts.join(F.broadcast(free.where(F.lit(swap) | (F.col("free") > 0)).select("shard")), "shard", "left_semi").groupBy("grp").agg(
         F.max(rank).alias("best"))
+    rooms = F.broadcast(free.select(F.col("shard").alias("to"), "free"))
+    # A better shard than the best free one is full: what it has goes as a whole or not at all.
+    whole = F.col("best") < rank
     wishes = (
-        counts.join(best, "grp").where(F.col("best") > rank)
-        .select("grp", "shard", F.col("best.shard").alias("to"), "n", (F.col("best.n") - F.col("n")).alias("gain"))
+        counts.join(best, "grp").where(F.col("best") != rank)
+        .select("grp", "shard", F.col("best.shard").alias("to"), "n", (F.col("best.n") - F.col("n")).alias("gain"),
+                whole.alias("whole"))
+        .join(rooms, "to").where("NOT whole OR n <= free").drop("free")
     )
     wishes = materialize(wishes, "wishes")
-    # At most shards * shards rows.
-    pairs = wishes.groupBy("shard", "to").agg(F.sum("n").alias("wish"))
-    back = pairs.select(F.col("shard").alias("to"), F.col("to").alias("shard"), F.col("wish").alias("back"))
-    all_in = pairs.groupBy("to").agg(F.sum("wish").alias("all"))
+    # At most 2 * shards * shards rows.
+    pairs = wishes.groupBy("shard", "to", "whole").agg(F.sum("n").alias("wish"))
+    back = pairs.where("NOT whole").select(
+        F.col("shard").alias("to"), F.col("to").alias("shard"), F.col("wish").alias("back"), F.lit(False).alias("whole"))
+    # Shares are differences of rounded running shares, so they add up to all places that are wanted.
+    turned = Window.partitionBy("to", "whole").orderBy(F.xxhash64("shard", "to", F.lit(turn)), "shard")
+    every = F.sum(F.expr("if(whole, 0, wish)")).over(Window.partitionBy("to"))
+    given = F.expr("least(free, all)")
+    share = F.expr("least(free, all) * upto div all - least(free, all) * (upto - wish) div all")
     grants = (
-        pairs.join(back, ["shard", "to"], "left").join(all_in, "to")
-        .join(free.withColumnRenamed("shard", "to"), "to")
-        .select("shard", "to", F.least(
-            "wish", F.coalesce("back", F.lit(0)) + F.expr("free * wish div all")).alias("granted"))
+        pairs.join(back, ["shard", "to", "whole"], "left").join(rooms, "to")
+        .withColumn("all", every).withColumn("upto", F.sum("wish").over(turned))
+        .select("shard", "to", "whole", F.when(
+            F.col("whole"), F.least("wish", F.col("free") - given - F.col("upto") + F.col("wish"))).otherwise(
+            F.least("wish", F.coalesce("back", F.lit(0)) + share)).alias("granted"))
     )
-    inside = Window.partitionBy("shard", "to").orderBy(F.desc("gain"), "grp")
+    inside = Window.partitionBy("shard", "to", "whole").orderBy(F.desc("gain"), "grp")
     before = F.coalesce(F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     moves = (
-        wishes.withColumn("before", before).join(F.broadcast(grants), ["shard", "to"])
-        .select("grp", "shard", "to", "n", F.least("n", F.col("granted") - F.col("before")).alias("go"))
-        .where("go > 0")
+        wishes.withColumn("before", before).join(F.broadcast(grants), ["shard", "to", "whole"])
+        .select("grp", "shard", "to", "n", "whole", F.least("n", F.col("granted") - F.col("before")).alias("go"))
+        .where("go > 0 AND (NOT whole OR go = n)").drop("whole")
     )
     marked = materialize(now.join(moves, ["grp", "shard"], "left"), "moves")
     # At most one group for each pair of shards moves in part.
@@ -114,7 +127,7 @@ def assign(
     now = materialize(spread.select("row", "grp", F.pmod("nth", F.lit(shards)).cast("int").alias("shard")), "placed")
     still = 0
     for turn in range(rounds):
-        new = materialize(_round(now, quota, turn % 2 == 1), "placed")
+        new = materialize(_round(now, quota, turn), "placed")
         still = still + 1 if new.exceptAll(now).isEmpty() else 0
         now = new
         if still == 2:

@@ -46,6 +46,18 @@ def test_a_group_larger_than_shards_is_cut_no_more_than_it_must(spark):
     assert least <= cut < 0.9 * total
 
 
+def test_pairs_beside_a_hot_group_are_kept_whole(spark):
+    texts = ["hot"] * 1330 + [f"pair {i % 200}" for i in range(400)] + [f"ten {i % 40}" for i in range(400)]
+    texts += [f"own {i}" for i in range(4000 - len(texts))]
+    seeded(15).shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    check(df, list(enumerate(texts)), 20)
+    shards = defaultdict(set)
+    for r in sharding.assign(df, shards=20).collect():
+        shards[texts[r.doc_id]].add(r.shard)
+    assert [t for t, s in shards.items() if t.startswith(("pair", "ten")) and len(s) > 1] == []
+
+
 @pytest.mark.parametrize("shards", [1, 4, 40])
 def test_odd_documents(spark, shards):
     df = documents(spark, ODD_TEXTS)
