@@ -86,3 +86,29 @@ def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
             .join(sizes, [*keys, "_part"])
             .withColumn(name, (F.col("_at") + F.col("_shift")).cast("long"))
             .drop("_part", "_at", "_shift"))
+
+
+def ranked(df: DataFrame, order: list[str], name: str, group: list[str] | None = None) -> DataFrame:
+    """Number the rows in an order, from 0 in each group, in ``name``; ``<name>_of`` is their number.
+
+    Rows are dealt by ranges of (group, order), so one group spreads over many tasks, and
+    each range is shifted by the sizes of those before it. ``df`` is read twice, so it
+    should be a written table; ``order`` should end in a column that is unique. The result is
+    a written table. Column names that begin with ``_at`` are used inside.
+    """
+    keys = [*(group or []), *order]
+    placed = materialize(
+        df.repartitionByRange(partitions_of(df.sparkSession), *keys).sortWithinPartitions(*keys)
+        .withColumn("_at", F.monotonically_increasing_id()), "placed")
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(*(group or []), part.alias("_at_part")).agg(
+        F.min("_at").alias("_at_first"), F.count("*").alias("_at_n"))
+    whole = Window.partitionBy(*(group or []))
+    before = whole.orderBy("_at_part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per group and range.
+    sizes = materialize(sizes.select(
+        *(group or []), "_at_part", "_at_first", F.sum("_at_n").over(whole).alias(f"{name}_of"),
+        F.coalesce(F.sum("_at_n").over(before), F.lit(0)).alias("_at_before")), "sizes")
+    return (placed.withColumn("_at_part", part).join(sizes, [*(group or []), "_at_part"])
+            .withColumn(name, F.col("_at") - F.col("_at_first") + F.col("_at_before"))
+            .drop("_at", "_at_part", "_at_first", "_at_before"))

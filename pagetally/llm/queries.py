@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetally.llm import chat_parts, decontamination, langid, licenses, quality_crf, sentencepiece_codec, sharding, simhash, suffix_dedup, wacz
+from pagetally.llm import chat_parts, collocations, decontamination, langid, licenses, merkle, quality_crf, sentencepiece_codec, sharding, simhash, suffix_dedup, token_archive, wacz
 from pagetally.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +100,26 @@ def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
         F.array_join("sentence_ids", ",").alias("sentence_ids"), "n_sentences")
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, folder, "documents")).withColumnRenamed("grp", "lang")
+
+
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    # One more than the largest long is still a number.
+    more = (docs["n_chars"].cast("decimal(20,0)") + 1).cast("string")
+    return merkle.manifest(
+        docs, altered={"n_chars": more}, is_altered=F.crc32(docs["doc_id"].cast("string").cast("binary")) % 7 == 0)
+
+
+def op13_token_archive(spark: SparkSession, folder: str, tokenizer: str | None = None) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+    catalog = token_archive.write_archive(docs, path, end_id=2)
+    return token_archive.checksums(catalog, docs.schema["doc_id"].dataType.simpleString()).select(
+        F.col("id").alias("doc_id"), "start", "n_tokens", F.col("crc32").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_warc": op2_warc,
@@ -111,6 +131,9 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
     "op10_licenses": op10_licenses,
+    "op11_collocations": op11_collocations,
+    "op12_merkle": op12_merkle,
+    "op13_token_archive": op13_token_archive,
 }
 
 _WORDS = (
@@ -128,6 +151,14 @@ _BASE32 = """array_to_string(list_transform(range(32), lambda i: substr(
                + strpos('0123456789abcdef', substr(h, 5 * i // 4 + 2, 1)) - 1)
               >> (3 - 5 * i % 4)) & 31)::INTEGER + 1, 1)), '')"""
 
+
+
+def _fields(n_chars: str) -> str:
+    parts = ("doc_id", "source", "lang", n_chars, "text")
+    return "sha256(concat(" + ", ".join(
+        f"coalesce(strlen(({c})::VARCHAR) || ':' || ({c})::VARCHAR, '-')" for c in parts) + "))"
+
+
 _ESCAPES = r"len(regexp_extract_all({0}, '<\\*\|'))"
 
 ORACLE_SQL: dict[str, str] = {
@@ -205,6 +236,97 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(sentence_ids, '') AS sentence_ids,
                len(found)::BIGINT AS n_sentences
         FROM split LEFT JOIN lines USING (r) LEFT JOIN hits USING (r)""",
+    "op11_collocations": r"""
+        WITH d AS (
+            SELECT coalesce(lang, 'und') AS lang, string_split(regexp_replace(translate(
+                coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[.,;:!?\x0A-\x0D]', chr(10), 'g'), chr(10)) AS pieces FROM documents
+        ),
+        p AS (SELECT lang, regexp_extract_all(unnest(pieces), '[^\x20\x09]+') AS w FROM d),
+        f AS (
+            SELECT lang, k, array_to_string(w[j:j + k - 1], ' ') AS phrase, count(*) AS a
+            FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS j FROM p, (VALUES (1), (2), (3), (4)) t(k))
+            GROUP BY ALL
+        ),
+        totals AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+        candidates AS (SELECT * FROM f WHERE k > 1 AND a >= 30),
+        parts AS (
+            SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM candidates
+        ),
+        scored AS (
+            SELECT c.lang, c.phrase, c.k, c.a, x.a AS l, y.a AS r, cut,
+                   ((2000000::HUGEINT * c.a) // (x.a::HUGEINT + y.a))::BIGINT AS score
+            FROM parts c
+            JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:cut], ' ')
+            JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1:], ' ')
+        ),
+        weakest AS (
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+        ),
+        free AS (
+            SELECT * FROM weakest s WHERE NOT EXISTS (
+                SELECT 1 FROM candidates b WHERE b.lang = s.lang AND b.k > s.k
+                AND contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' ') AND 100::HUGEINT * b.a >= 80::HUGEINT * s.a)
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank,
+               phrase, a, l, r, n, score
+        FROM free JOIN totals USING (lang)
+        QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000""",
+    "op12_merkle": rf"""
+        WITH RECURSIVE table32 AS (
+            SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+                lambda c, s: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+        ),
+        d AS (
+            SELECT doc_id, coalesce('=' || lang, '') AS grp, {_fields('n_chars')} AS leaf, {_fields('n_chars::HUGEINT + 1')} AS other,
+                   xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''),
+                           lambda c: ascii(c)::BIGINT)),
+                       lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0 AS altered
+            FROM documents, table32
+        ),
+        placed AS (
+            SELECT row_number() OVER () AS r, *, count(*) OVER (PARTITION BY grp) AS total,
+                   row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM d
+        ),
+        nodes(grp, lvl, idx, n, h) AS (
+            SELECT grp, 0, idx, total, leaf FROM placed
+            UNION ALL
+            SELECT grp, lvl + 1, idx // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY idx))
+            FROM nodes WHERE n > 1 GROUP BY grp, lvl, idx // 2
+        ),
+        subroots AS (
+            SELECT grp, h, row_number() OVER (ORDER BY grp) - 1 AS idx, count(*) OVER () AS total FROM nodes WHERE n = 1
+        ),
+        upper(lvl, idx, n, h) AS (
+            SELECT 0, idx, total, h FROM subroots
+            UNION ALL
+            SELECT lvl + 1, idx // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY idx))
+            FROM upper WHERE n > 1 GROUP BY lvl, idx // 2
+        ),
+        -- Every level of a row's way up, with the sibling there if it has one.
+        steps AS (
+            SELECT r, row_number() OVER (PARTITION BY r ORDER BY tree, lvl) - 1 AS step, place, h FROM (
+                SELECT r, 0 AS tree, own.lvl, p.idx >> own.lvl AS place, o.h
+                FROM placed p JOIN nodes own ON own.grp = p.grp AND own.idx = p.idx >> own.lvl AND own.n > 1
+                LEFT JOIN nodes o ON o.grp = p.grp AND o.lvl = own.lvl AND o.idx = xor(p.idx >> own.lvl, 1)
+                UNION ALL
+                SELECT r, 1, own.lvl, s.idx >> own.lvl, o.h
+                FROM placed p JOIN subroots s ON s.grp = p.grp JOIN upper own ON own.idx = s.idx >> own.lvl AND own.n > 1
+                LEFT JOIN upper o ON o.lvl = own.lvl AND o.idx = xor(s.idx >> own.lvl, 1))
+        ),
+        proofs AS (SELECT r, sha256(coalesce(string_agg(h, '' ORDER BY step), '')) AS proof FROM steps GROUP BY r),
+        fold(r, step, h) AS (
+            SELECT r, 0, CASE WHEN altered THEN other ELSE leaf END FROM placed
+            UNION ALL
+            SELECT f.r, f.step + 1, sha256(CASE WHEN s.h IS NULL THEN f.h WHEN s.place % 2 = 1 THEN s.h || f.h
+                                           ELSE f.h || s.h END)
+            FROM fold f JOIN steps s ON s.r = f.r AND s.step = f.step
+        ),
+        ends AS (SELECT r, arg_max(h, step) AS h FROM fold GROUP BY r),
+        top AS (SELECT h AS root FROM upper WHERE n = 1)
+        SELECT doc_id, leaf, s.h AS subroot, root, coalesce(proof, sha256('')) AS proof_sha256, e.h AS folded_root,
+               e.h = root AS verified
+        FROM placed p JOIN subroots s ON s.grp = p.grp JOIN ends e ON e.r = p.r LEFT JOIN proofs ON proofs.r = p.r, top""",
     "op3_decontamination": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
         b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),

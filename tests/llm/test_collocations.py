@@ -1,0 +1,110 @@
+"""Phrase counts, scores and order against plain Python over all phrases."""
+
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from pagetally.llm import collocations as co
+from tests.llm.cases import ODD_TEXTS, as_set, documents, seeded
+
+
+def pieces(text):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    return [re.findall(r"[^\x20\x09]+", p) for p in re.split(r"[.,;:!?\x0A-\x0D]", low)]
+
+
+def expected(rows, least, top=2000):
+    """Rows (text, lang) to the full result, by trying every longer phrase."""
+    counts, sizes = defaultdict(Counter), Counter()
+    for text, lang in rows:
+        for words in pieces(text):
+            sizes[lang or "und"] += len(words)
+            for n in range(1, 5):
+                for i in range(len(words) - n + 1):
+                    counts[lang or "und"][tuple(words[i:i + n])] += 1
+    out = []
+    for lang, f in counts.items():
+        several = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        within = defaultdict(int)
+        for p, a in several.items():
+            for n in range(2, len(p)):
+                for i in range(len(p) - n + 1):
+                    within[p[i:i + n]] = max(within[p[i:i + n]], a)
+        found = []
+        for p, a in several.items():
+            cuts = [(2_000_000 * a // (f[p[:k]] + f[p[k:]]), k, f[p[:k]], f[p[k:]]) for k in range(1, len(p))]
+            score, _, left, right = min(cuts)
+            if p not in within or 100 * within[p] < 80 * a:
+                found.append((-score, -a, " ".join(p).encode(), left, right))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(found)[:top], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, sizes[lang], -score))
+    return as_set(out)
+
+
+def texts(rng, n):
+    phrases = ["new york city", "New York", "über Straße", "of the", "a a a a a", "x1 y. z", "the end", "to be or not to be"]
+    out = []
+    for _ in range(n):
+        parts = [rng.choice(phrases) if rng.random() < 0.4 else rng.choice("abcdefgh") * rng.randrange(1, 3)
+                 for _ in range(rng.randrange(0, 40))]
+        out.append("".join(p + rng.choice([" ", " ", " ", "\t", ", ", ".\n", "  ", "!"]) for p in parts))
+    return out
+
+
+@pytest.mark.parametrize("shard_words", [40, 1 << 20])
+@pytest.mark.parametrize("top", [2000, 7])
+def test_against_all_phrases(spark, shard_words, top):
+    """One shard a language and task, and hundreds of them, where parts of a count meet from all."""
+    rng = seeded(21)
+    rows = [(t, rng.choice(["en", "en", "en", "de", None, "und"])) for t in texts(rng, 120)]
+    rows += [(t, "odd") for t in ODD_TEXTS] + [("same words again and again " * 200, "long"), ("the dot . the dot", "odd")]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    got = co.collocations(df, min_count=4, top=top, shard_words=shard_words)
+    assert got.columns == ["grp", "rank", "phrase", "a", "l", "r", "n", "score"]
+    want = expected(rows, 4, top)
+    assert as_set(got.collect()) == want and len(want) > 10
+
+
+def test_counts_beyond_64_bits(spark):
+    row = spark.sql("SELECT 4000000000000000000L AS a, 4000000000000000001L AS l, 4000000000000000009L AS r")
+    score = row.select(co._score("a", "l", "r").alias("s")).first().s
+    assert score == 2_000_000 * 4 * 10**18 // (8 * 10**18 + 10)
+
+
+@pytest.mark.parametrize("symbols", [3, 40, 40_000])
+def test_intervals_hold_the_counts_in_both_directions(symbols):
+    rng = np.random.default_rng(symbols)
+    text = rng.integers(0, symbols, 3000).astype(np.int32)
+    if symbols > 1000:
+        # Wide numbers that recur: the long way of ordering.
+        text = text[rng.integers(0, 30, 3000)]
+    text = co.pruned(text, np.unique(text[text > 0]))
+    both = co.BothWays(co.transform(text), co.transform(text[::-1]))
+    plain = [Counter(tuple(text[i:i + n].tolist()) for i in range(len(text) - n + 1)) for n in range(5)]
+    found = both.words()
+    for n in range(1, 5):
+        words = list(zip(*(s.tolist() for s in both.symbols(found, n)), strict=True))
+        want = {k: v for k, v in plain[n].items() if 0 not in k}
+        assert dict(zip(words, found.size.tolist(), strict=True)) == want
+        if n < 4:
+            # Either side alone finds the same phrases.
+            left, right = both.left(found), both.right(found)
+            assert sorted(zip(left.low, left.size, strict=True)) == sorted(zip(right.low, right.size, strict=True))
+            found = both.longer(found)
+
+
+def test_no_documents_and_no_words(spark):
+    assert co.collocations(documents(spark, []).withColumnRenamed("words", "lang")).isEmpty()
+    blank = spark.createDataFrame([(None, "en"), ("", "en"), (" ,.", None)], "text string, lang string")
+    assert co.collocations(blank).isEmpty()
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    df = documents(spark, ["big red dog"] * 3 + ["big red cat"] * 2)
+    for name in ("grp", "phrase", "shard", "words", "counts", "ids", "at"):
+        df = df.withColumn(name, df["key"])
+    got = co.collocations(df, group_col="grp", min_count=2)
+    rows = [("big red dog", "extra")] * 3 + [("big red cat", "extra")] * 2
+    assert as_set(got.collect()) == expected(rows, 2)

@@ -25,6 +25,10 @@ COLUMNS = {
     "op8_simhash": "doc_id:bigint fingerprint:string component_id:bigint",
     "op9_sharding": "doc_id:bigint size:bigint text_crc32:bigint law:string shard:int slot:bigint grown_shard:int",
     "op10_licenses": "doc_id:bigint licenses:string sentence_ids:string n_sentences:bigint",
+    "op11_collocations": "lang:string rank:bigint phrase:string a:bigint l:bigint r:bigint n:bigint score:bigint",
+    "op12_merkle": "doc_id:bigint leaf:string subroot:string root:string proof_sha256:string folded_root:string "
+                   "verified:boolean",
+    "op13_token_archive": "doc_id:bigint start:bigint n_tokens:bigint ids_crc32:bigint",
 }
 
 
@@ -39,6 +43,10 @@ def test_columns_and_rows(spark, name):
     result = QUERIES[name](spark, FOLDER)
     first = [f"{n}:{t}" for n, t in result.dtypes][:len(COLUMNS[name].split())]
     assert first == COLUMNS[name].split()
+    if name == "op11_collocations":
+        # Its rows are phrases; the SQL says which.
+        assert not result.isEmpty()
+        return
     rows = spark.read.parquet(f"{FOLDER}/{table}.parquet")
     want = rows.select("conv_id").distinct().count() if name == "op7_chat" else rows.count()
     assert result.count() == want + extra
