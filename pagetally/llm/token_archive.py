@@ -22,10 +22,11 @@ The dictionary is trained on at most ``SAMPLE_DOCS`` documents of at most ``SAMP
 those with the smallest hashes of their ids. It changes the size of the files and nothing else.
 
 Ids are those of the tokenizers library without special tokens added. For a byte-level model
-with the usual word pattern a text is cut where white space begins, which is always a
-border for the pattern too, and ids of pieces are remembered up to ``REMEMBERED``. Texts with
-other white space than ASCII's or with the text of an added token go through the library whole, and
-so does everything for other models.
+with the usual word pattern, texts of ASCII and Latin letters are cut into that pattern's words
+here, and the library's model splits these. Others are cut where white space begins, which is
+always a border for the pattern too, and the library takes the parts. The ids of up to
+``REMEMBERED`` words and as many parts are kept. Texts with other white space than ASCII's or with the text of
+an added token go through the library whole, and so does everything for other models.
 
 Defined results: a null text is empty and has the end id only; ids ascend, nulls first; rows
 that repeat an id follow each other by length and checksum and count one by one; an empty table
@@ -36,13 +37,14 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import os
 import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,17 +65,47 @@ SAMPLE_DOCS = 1000
 SAMPLE_BYTES = 8192
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
-REMEMBERED = 1 << 18
-LONG_UNIT = 64
+REMEMBERED = 1 << 19
+LONG_UNIT = 48
 TEXT_AT_ONCE = 1 << 20
 
 # White space that a Unicode pattern takes for such and an ASCII one does not, or that
 # versions of Unicode differ about.
 ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u2029\u202f\u205f\u2060\u3000\ufeff]")
 UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s+", re.ASCII)
+# The pattern's letters and numbers among the characters of PLAIN texts, whose classes are
+# the same in all versions of Unicode.
+LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+WORD = re.compile(
+    rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+", re.ASCII)
+NOT_PLAIN = re.compile("[^\x00-\x1b\x20-\x7f\xa1-\u024f\u2010-\u2027\u2030-\u205e]")
 CUT = re.compile(r"(?<=\S) (?=\S)", re.ASCII)
 
 
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it can be
+    seen in Latin-1, else the next one from U+0100 on."""
+    spare = itertools.count(0x100)
+    seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return [chr(b) if b in seen else chr(next(spare)) for b in range(0x100)]
+
+
+class _Remembered(dict):
+    """Results by text, of at most REMEMBERED short texts."""
+
+    def __init__(self, function: Callable[[str], bytes]):
+        self.function = function
+
+    def __missing__(self, text: str) -> bytes:
+        found = self.function(text)
+        if len(text) <= LONG_UNIT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[text] = found
+        return found
+
+
 class Encoder:
     """Id arrays of texts by the tokenizers library."""
 
@@ -90,11 +122,19 @@ class Encoder:
             and known["padding"] is None and before.get("type") == "ByteLevel" and before.get("use_regex")
             and not before.get("add_prefix_space") and model["type"] == "BPE" and not model.get("dropout"))
         self.added = [t["content"] for t in known["added_tokens"]]
-        self.known: dict[str, bytes] = {}
+        characters = byte_characters()
+        split, codes = self.library.model.tokenize, [
+            np.array([i], self.width).tobytes() for i in range(self.library.get_vocab_size(with_added_tokens=True))]
+
+        def word(text: str) -> bytes:
+            """A word of the pattern, by the library's model alone."""
+            shown = text.encode().decode("latin-1").translate(characters)
+            return b"".join([codes[t.id] for t in split(shown)])
+
+        self.words, self.units = _Remembered(word), _Remembered(self._library)
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.width).tobytes() for e in found]
+    def _library(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.width).tobytes()
 
     def _parts(self, text: str) -> Iterator[str]:
         """A long text in pieces that can be encoded one by one."""
@@ -105,24 +145,15 @@ class Encoder:
         yield text[at:]
 
     def __call__(self, text: str) -> bytes:
-        if not self.by_units or any(t in text for t in self.added) or (ODD.search(text) is not None):
-            return self._library([text])[0]
-        return b"".join(map(self._units, self._parts(text)))
-
-    def _units(self, text: str) -> bytes:
-        units = UNIT.findall(text)
-        if missing := set(units).difference(self.known):
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-                missing = set(units)
-            missing = list(missing)
-            self.known.update(zip(missing, self._library(missing), strict=True))
-            out = b"".join(map(self.known.__getitem__, units))
-            for unit in missing:
-                if len(unit) > LONG_UNIT:
-                    del self.known[unit]
-            return out
-        return b"".join(map(self.known.__getitem__, units))
+        if not self.by_units or any(t in text for t in self.added):
+            return self._library(text)
+        if NOT_PLAIN.search(text) is None:
+            cut, of = WORD.findall, self.words.__getitem__
+        elif ODD.search(text) is None:
+            cut, of = UNIT.findall, self.units.__getitem__
+        else:
+            return self._library(text)
+        return b"".join(b"".join(map(of, cut(part))) for part in self._parts(text))
 
 
 @functools.cache
