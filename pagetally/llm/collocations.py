@@ -11,12 +11,16 @@ left counts that word's places in the first transform, on the right in the secon
 interval moves by the number of smaller words, so both stay in step. Extensions of
 all phrases of a shard are found at once with numpy.
 
-Phrases grow by one word a round. A round's counts are summed over all shards, and only
-phrases that reach ``min_count`` in the whole group go back to their shards, as
-intervals. A longer phrase is counted only where it is reached from both sides: as a right
-extension of its first words and as a left extension of its last ones. All parts of a
-frequent phrase are frequent, so nothing that counts is lost, and a shard never lists the
-many phrases that are rare.
+Phrases grow by one word a round. A longer phrase is looked at only where it is reached from both
+sides: as a right extension of its first words and as a left extension of its last ones, both
+of which were frequent. Nearly all that a shard finds is rare even so, so a shard first sends hashes
+with counts, packed by ranges of the hash. The counts of a range are summed over all shards of
+the group, and each shard is told by a bit per phrase whether its sum reaches ``min_count``. Only
+those phrases are then sent as text and summed exactly. A clash of hashes can let a rare phrase pass
+until then; as all parts of a frequent phrase are frequent, none that counts is ever lost.
+
+Shards and indexes are files in the shared folder, written and read by tasks through pyarrow's file
+systems; tables hold their paths, bits and intervals. A repeated task writes a new file.
 
 A phrase is scored at its weakest cut into two parts, l and r being how often these occur, as
 floor(2000000 a / (l + r)) in decimals, and dropped if it lies in a longer frequent phrase with at
@@ -32,6 +36,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,12 +44,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
+import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagetally.llm.common import record_batch, utf8_rows
+from pagetally.llm.common import partitions_of, record_batch, utf8_rows
+from pagetally.session import shared_dir
 from pagetally.sources.tables import materialize
 
 DEPTH = 4
@@ -53,6 +61,10 @@ TOP = 2000
 SCALE = 2_000_000
 CONTAINED_PERCENT = 80
 SHARD_WORDS = 1 << 20
+# Ranges of the hash are made for so many words of the largest group each.
+RANGE_WORDS = 4 << 20
+# An odd number whose bits are spread well, to mix hashes of words.
+MIX = np.uint64(0x9E3779B97F4A7C15)
 # Unfinished shards of all groups in a task hold at most so many words.
 HELD_WORDS = 3 << 20
 MARK = b"."
@@ -73,7 +85,7 @@ class _Shard:
         self.parts.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
         self.size += len(words)
 
-    def finish(self) -> tuple[list[bytes], list[int], bytes]:
+    def finish(self) -> tuple[list[bytes], list[int], np.ndarray]:
         ids = np.concatenate(self.parts)
         del self.numbers[MARK]
         # Numbers may have been given out in gaps by the mark's entry.
@@ -82,7 +94,7 @@ class _Shard:
         renumbered[list(self.numbers.values())] = np.arange(1, len(words) + 1)
         ids = renumbered[ids]
         counts = np.bincount(ids, minlength=len(words) + 1)[1:].tolist()
-        return words, counts, zstandard.compress(ids.tobytes(), 1)
+        return words, counts, ids
 
 
 def _pieces(words: list[bytes], limit: int) -> Iterator[list[bytes]]:
@@ -99,21 +111,55 @@ def _pieces(words: list[bytes], limit: int) -> Iterator[list[bytes]]:
         yield words[at:]
 
 
+def _store(folder: str, table: pa.Table) -> str:
+    """Write one row of arrays to a new file; its path."""
+    path = f"{folder}/{uuid.uuid4().hex}"
+    system, inner = pyarrow.fs.FileSystem.from_uri(path)
+    with system.open_output_stream(inner) as out, pa.ipc.new_stream(
+            out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_table(table)
+    return path
+
+
+def _load(path: str) -> pa.Table:
+    system, inner = pyarrow.fs.FileSystem.from_uri(path)
+    with system.open_input_stream(inner) as file:
+        return pa.ipc.open_stream(file).read_all().combine_chunks()
+
+
+def _one(values: pa.Array) -> pa.ListArray:
+    """An array as the only row of a list column."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _array(table: pa.Table, name: str) -> pa.Array:
+    return table.column(name)[0].values
+
+
+def _folder(spark: SparkSession, purpose: str) -> str:
+    folder = shared_dir(spark, purpose)
+    system, inner = pyarrow.fs.FileSystem.from_uri(folder)
+    system.create_dir(inner, recursive=True)
+    return folder
+
+
 def shards(docs: DataFrame, group_col: str, text_col: str, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(shard, grp, words, counts, ids): word lists with counts, and the numbered text."""
+    """(shard, grp, words, counts, path): word lists with counts, and the numbered text in a file."""
+    folder = _folder(docs.sparkSession, "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = pa.schema([("shard", pa.int64()), ("grp", pa.string()), ("words", pa.list_(pa.string())),
-                         ("counts", pa.list_(pa.int64())), ("ids", pa.binary())])
+                         ("counts", pa.list_(pa.int64())), ("path", pa.string())])
         number = itertools.count(TaskContext.get().partitionId() << 32)
         held: dict[str, _Shard] = {}
 
         def close(group: str) -> pa.RecordBatch:
             words, counts, ids = held.pop(group).finish()
-            words = pa.array([words], pa.list_(pa.binary())).cast(pa.list_(pa.string()))
+            words = pa.array(words, pa.binary()).cast(pa.string())
+            path = _store(folder, pa.table({"words": _one(words), "ids": _one(pa.array(ids))}))
             return pa.RecordBatch.from_arrays(
-                [pa.array([next(number)]), pa.array([group]), words, pa.array([counts], pa.list_(pa.int64())),
-                 pa.array([ids], pa.binary())], schema=out)
+                [pa.array([next(number)]), pa.array([group]), _one(words), _one(pa.array(counts, pa.int64())),
+                 pa.array([path])], schema=out)
 
         for batch in batches:
             for group, text in utf8_rows(batch):
@@ -136,7 +182,7 @@ def shards(docs: DataFrame, group_col: str, text_col: str, shard_words: int = SH
 
     rows = docs.select(
         F.coalesce(docs[group_col].cast("string"), F.lit("und")).alias("id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, "shard long, grp string, words array<string>, counts array<long>, ids binary")
+    return rows.mapInArrow(run, "shard long, grp string, words array<string>, counts array<long>, path string")
 
 
 def transform(text: np.ndarray) -> np.ndarray:
@@ -243,95 +289,162 @@ def pruned(ids: np.ndarray, kept: np.ndarray) -> np.ndarray:
 
 
 def _indexed(found: DataFrame) -> DataFrame:
-    """(shard, grp, words, forward, backward) of shards with the numbers of the words to keep."""
+    """(shard, grp, path, n) of the indexes of shards, from the numbers of the words to keep."""
+    folder = _folder(found.sparkSession, "indexes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("shard", pa.int64()), ("grp", pa.string()), ("words", pa.list_(pa.string())),
-                         ("forward", pa.binary()), ("backward", pa.binary())])
+        out = pa.schema([("shard", pa.int64()), ("grp", pa.string()), ("path", pa.string()), ("n", pa.int64())])
         for batch in batches:
             for i in range(batch.num_rows):
                 kept = np.sort(batch.column("kept")[i].values.to_numpy(zero_copy_only=False))
-                ids = np.frombuffer(zstandard.decompress(batch.column("ids")[i].as_py()), np.int32)
-                text = pruned(ids, kept)
-                words = batch.column("words")[i].values.take(pa.array(kept - 1))
-                both = [zstandard.compress(transform(t).tobytes(), 1) for t in (text, text[::-1])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("shard")[i:i + 1], batch.column("grp")[i:i + 1],
-                     pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
-                     pa.array(both[:1], pa.binary()), pa.array(both[1:], pa.binary())], schema=out)
-
-    return found.select("shard", "grp", "words", "ids", "kept").mapInArrow(
-        run, "shard long, grp string, words array<string>, forward binary, backward binary")
-
-
-def _counted(index: DataFrame, length: int) -> DataFrame:
-    """(shard, grp, phrase, n, low, reverse_low) of phrases of a length in each shard.
-
-    Phrases of two words come from all words of the index, longer ones from the column ``shorter``.
+                source = _load(batch.column("path")[i].as_py())
+                text = pruned(_array(source, "ids").to_numpy(), kept)
+                words = _array(source, "words").take(pa.array(kept - 1))
+                hashes = np.array([xxhash.xxh64_intdigest(w) for w in words.to_pylist()], np.uint64)
+                path = _store(folder, pa.table({
+                    "words": _one(words), "hashes": _one(pa.array(hashes)),
+                    "forward": _one(pa.array(transform(text))), "backward": _one(pa.array(transform(text[::-1])))}))
+                yield record_batch(out, [
+                    [batch.column("shard")[i].as_py()], [batch.column("grp")[i].as_py()], [path], [len(text)]])
+
+    return found.select("shard", "grp", "path", "kept").mapInArrow(
+        run, "shard long, grp string, path string, n long")
+
+
+class _Round:
+    """One shard in one round: its phrases of a length, in the order of their hashes."""
+
+    def __init__(self, path: str, shorter: pa.StructScalar | None, length: int):
+        source = _load(path)
+        both = BothWays(*(_array(source, c).to_numpy() for c in ("forward", "backward")))
+        known = both.words()
+        if shorter is not None:
+            known = Phrases(*(shorter[c].values.to_numpy() for c in ("low", "reverse_low", "size")))
+        found = both.longer(known)
+        symbols = both.symbols(found, length)
+        hashes = _array(source, "hashes").to_numpy()
+        mixed = np.zeros(len(found.low), np.uint64)
+        for word in symbols:
+            mixed = (mixed ^ hashes[word - 1]) * MIX
+            mixed ^= mixed >> np.uint64(29)
+        order = np.argsort(mixed, kind="stable")
+        self.hashes, self.found = mixed[order], found.of(order)
+        self.symbols, self.words = [s[order] for s in symbols], _array(source, "words")
+
+    def ranges(self, n: int) -> np.ndarray:
+        """Where each of n equal ranges of the hash begins, and the end."""
+        borders = np.array([(i << 64) // n for i in range(n)], np.uint64)
+        return np.append(np.searchsorted(self.hashes, borders), len(self.hashes))
+
+
+def _sums(given: DataFrame, length: int, ranges: int, min_count: int) -> DataFrame:
+    """(shard, part, bits): which phrases of a shard in a range of the hash are frequent."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = pa.schema([("grp", pa.string()), ("part", pa.int32()), ("shard", pa.int64()), ("hashes", pa.binary()),
+                         ("counts", pa.binary())])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard, grp, path = (batch.column(c)[i].as_py() for c in ("shard", "grp", "path"))
+                own = _Round(path, batch.column("shorter")[i] if length > 2 else None, length)
+                at = own.ranges(ranges)
+                for part in range(ranges):
+                    a, b = at[part:part + 2]
+                    if a < b:
+                        # The first hash, then differences, whose high bytes are zero.
+                        packed = np.diff(own.hashes[a:b], prepend=np.uint64(0))
+                        yield record_batch(out, [[grp], [part], [shard], [zstandard.compress(packed.tobytes(), 1)],
+                                                 [zstandard.compress(own.found.size[a:b].astype(np.int64).tobytes(), 1)]])
+
+    def add(table: pa.Table) -> pa.Table:
+        """All shards of a group in one range."""
+        hashes = [np.cumsum(np.frombuffer(zstandard.decompress(h), np.uint64), dtype=np.uint64)
+                  for h in table.column("hashes").to_pylist()]
+        counts = np.concatenate([np.frombuffer(zstandard.decompress(c), np.int64) for c in table.column("counts").to_pylist()])
+        _, which = np.unique(np.concatenate(hashes), return_inverse=True)
+        total = np.zeros(int(which.max()) + 1, np.int64)
+        np.add.at(total, which, counts)
+        frequent = np.split((total >= min_count)[which], np.cumsum([len(h) for h in hashes])[:-1])
+        return pa.table({"shard": table.column("shard"), "part": table.column("part"),
+                         "bits": pa.array([np.packbits(f).tobytes() for f in frequent], pa.binary())})
+
+    columns = ["shard", "grp", "path", *(["shorter"] if length > 2 else [])]
+    sent = given.select(*columns).mapInArrow(send, "grp string, part int, shard long, hashes binary, counts binary")
+    return sent.groupBy("grp", "part").applyInArrow(add, "shard long, part int, bits binary")
+
+
+def _counted(given: DataFrame, length: int, ranges: int) -> DataFrame:
+    """(shard, grp, path, phrases, counts, shorter) of shards with ``bits`` of their frequent phrases.
+
+    ``shorter`` holds the intervals of the phrases, from which the next round goes on.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("shard", pa.int64()), ("grp", pa.string()), ("phrase", pa.string()), ("n", pa.int64()),
-                         ("low", pa.int64()), ("reverse_low", pa.int64())])
+        longs = pa.list_(pa.int64())
+        out = pa.schema([("shard", pa.int64()), ("grp", pa.string()), ("path", pa.string()),
+                         ("phrases", pa.list_(pa.string())), ("counts", longs),
+                         ("shorter", pa.struct([("low", longs), ("reverse_low", longs), ("size", longs)]))])
         for batch in batches:
             for i in range(batch.num_rows):
-                both = BothWays(*(np.frombuffer(zstandard.decompress(batch.column(c)[i].as_py()), np.int32)
-                                  for c in ("forward", "backward")))
-                known = both.words()
-                if length > 2:
-                    given = batch.column("shorter")[i].values
-                    columns = [given.field(c).to_numpy(zero_copy_only=False) for c in ("low", "reverse_low", "n")]
-                    order = np.argsort(columns[0])
-                    known = Phrases(*(c[order] for c in columns))
-                found = both.longer(known)
-                words = batch.column("words")[i].values
-                parts = [words.take(pa.array(s - 1)) for s in both.symbols(found, length)]
-                n = len(found.low)
+                shard, grp, path = (batch.column(c)[i].as_py() for c in ("shard", "grp", "path"))
+                own = _Round(path, batch.column("shorter")[i] if length > 2 else None, length)
+                at, chosen = own.ranges(ranges), np.zeros(len(own.hashes), bool)
+                for told in batch.column("told")[i].as_py():
+                    a, b = at[told["part"]:told["part"] + 2]
+                    chosen[a:b] = np.unpackbits(np.frombuffer(told["bits"], np.uint8), count=b - a)
+                found = own.found.of(chosen)
+                order = np.argsort(found.low)
+                found, symbols = found.of(order), [s[chosen][order] for s in own.symbols]
+                phrases = pc.binary_join_element_wise(*(own.words.take(pa.array(s - 1)) for s in symbols), " ")
+                low, back, size = (_one(pa.array(v.astype(np.int64))) for v in (found.low, found.reverse_low, found.size))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, batch.column("shard")[i].as_py())),
-                     pa.array([batch.column("grp")[i].as_py()] * n, pa.string()),
-                     pc.binary_join_element_wise(*parts, " "), pa.array(found.size.astype(np.int64)),
-                     pa.array(found.low.astype(np.int64)), pa.array(found.reverse_low.astype(np.int64))], schema=out)
+                    [pa.array([shard]), pa.array([grp]), pa.array([path]), _one(phrases), size,
+                     pa.StructArray.from_arrays([low, back, size], ["low", "reverse_low", "size"])], schema=out)
 
-    columns = ["shard", "grp", "words", "forward", "backward", *(["shorter"] if length > 2 else [])]
-    return index.select(*columns).mapInArrow(
-        run, "shard long, grp string, phrase string, n long, low long, reverse_low long")
+    columns = ["shard", "grp", "path", "told", *(["shorter"] if length > 2 else [])]
+    return given.select(*columns).mapInArrow(
+        run, "shard long, grp string, path string, phrases array<string>, counts array<long>, "
+             "shorter struct<low: array<long>, reverse_low: array<long>, size: array<long>>")
 
 
-def _totals(counted: DataFrame, min_count: int, length: int) -> DataFrame:
-    """(grp, phrase, f, len) of phrases that are frequent in their group."""
-    sums = counted.groupBy("grp", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+def _totals(shards: DataFrame, phrases: str, min_count: int, length: int) -> DataFrame:
+    """(grp, phrase, f, len) of phrases that are frequent in their group, from lists with counts."""
+    rows = shards.select("grp", F.explode(F.arrays_zip(F.col(phrases).alias("phrase"), "counts")).alias("p"))
+    sums = rows.groupBy("grp", "p.phrase").agg(F.sum("p.counts").alias("f")).where(F.col("f") >= min_count)
     return materialize(sums.withColumn("len", F.lit(length)), "frequent")
 
 
 def frequent_phrases(
     docs: DataFrame, group_col: str = "lang", text_col: str = "text", min_count: int = MIN_COUNT,
-    shard_words: int = SHARD_WORDS,
+    shard_words: int = SHARD_WORDS, range_words: int = RANGE_WORDS,
 ) -> tuple[DataFrame, DataFrame]:
     """Phrases of up to DEPTH words with their counts, (grp, phrase, f, len), and words per group, (grp, n)."""
     texts = materialize(shards(docs, group_col, text_col, shard_words), "shards")
     words = texts.select("shard", "grp", F.posexplode("words").alias("at", "phrase"))
-    counts = texts.select("grp", F.explode(F.arrays_zip("words", "counts")).alias("w")).select(
-        "grp", F.col("w.words").alias("phrase"), F.col("w.counts").alias("n"))
     sizes = texts.select("grp", F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b).alias("n")).groupBy(
         "grp").agg(F.sum("n").alias("n"))
-    frequent = [_totals(counts, min_count, 1)]
+    frequent = [_totals(texts, "words", min_count, 1)]
     kept = words.join(frequent[0], ["grp", "phrase"]).groupBy("shard").agg(
         # At most the words of one shard.
         F.collect_list((F.col("at") + 1).cast("long")).alias("kept"))
-    index = materialize(_indexed(texts.join(kept, "shard")), "index")
-    given = index
+    found = materialize(texts.select("shard", "grp", "path").join(kept, "shard"), "kept")
+    given = materialize(_indexed(_spread(found)), "indexes")
+    # Ranges of the hash, so that a range of the largest group holds about so many phrases.
+    largest = given.groupBy("grp").agg(F.sum("n").alias("n")).agg(F.max("n").alias("n")).first().n
+    ranges = max(1, -(-(largest or 0) // range_words))
     for length in range(2, DEPTH + 1):
-        counted = _counted(given, length)
-        if length < DEPTH:
-            counted = materialize(counted, "counted")
-        frequent.append(_totals(counted, min_count, length))
-        shorter = counted.join(frequent[-1], ["grp", "phrase"]).groupBy("shard").agg(
-            F.collect_list(F.struct("low", "reverse_low", "n")).alias("shorter"))
-        given = index.join(shorter, "shard")
+        bits = _sums(_spread(given), length, ranges, min_count)
+        told = materialize(bits.groupBy("shard").agg(F.collect_list(F.struct("part", "bits")).alias("told")), "told")
+        given = materialize(_counted(_spread(given.join(told, "shard")), length, ranges), "counted")
+        frequent.append(_totals(given, "phrases", min_count, length))
     return functools.reduce(DataFrame.unionByName, frequent), sizes
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows that stand for a file each, dealt to many tasks."""
+    return rows.repartition(partitions_of(rows.sparkSession), "shard")
+
+
 def _score(a: str, left: str, right: str):
     return F.expr(f"(CAST({SCALE} AS DECIMAL(8,0)) * CAST({a} AS DECIMAL(20,0))) "
                   f"div (CAST({left} AS DECIMAL(20,0)) + CAST({right} AS DECIMAL(20,0)))")
@@ -339,10 +452,10 @@ def _score(a: str, left: str, right: str):
 
 def collocations(
     docs: DataFrame, group_col: str = "lang", text_col: str = "text", min_count: int = MIN_COUNT, top: int = TOP,
-    contained_percent: int = CONTAINED_PERCENT, shard_words: int = SHARD_WORDS,
+    contained_percent: int = CONTAINED_PERCENT, shard_words: int = SHARD_WORDS, range_words: int = RANGE_WORDS,
 ) -> DataFrame:
     """(grp, rank, phrase, a, l, r, n, score): the first ``top`` phrases of each group."""
-    phrases, sizes = frequent_phrases(docs, group_col, text_col, min_count, shard_words)
+    phrases, sizes = frequent_phrases(docs, group_col, text_col, min_count, shard_words, range_words)
     phrases = materialize(phrases, "phrases")
     several = phrases.where("len > 1").withColumnRenamed("f", "a")
 

@@ -61,7 +61,7 @@ def test_against_all_phrases(spark, shard_words, top):
     rows = [(t, rng.choice(["en", "en", "en", "de", None, "und"])) for t in texts(rng, 120)]
     rows += [(t, "odd") for t in ODD_TEXTS] + [("same words again and again " * 200, "long"), ("the dot . the dot", "odd")]
     df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
-    got = co.collocations(df, min_count=4, top=top, shard_words=shard_words)
+    got = co.collocations(df, min_count=4, top=top, shard_words=shard_words, range_words=500)
     assert got.columns == ["grp", "rank", "phrase", "a", "l", "r", "n", "score"]
     want = expected(rows, 4, top)
     assert as_set(got.collect()) == want and len(want) > 10
