@@ -13,11 +13,12 @@ all phrases of a shard are found at once with numpy.
 
 Phrases grow by one word a round. A longer phrase is looked at only where it is reached from both
 sides: as a right extension of its first words and as a left extension of its last ones, both
-of which were frequent. Nearly all that a shard finds is rare even so, so a shard first sends hashes
-with counts, packed by ranges of the hash. The counts of a range are summed over all shards of
-the group, and each shard is told by a bit per phrase whether its sum reaches ``min_count``. Only
-those phrases are then sent as text and summed exactly. A clash of hashes can let a rare phrase pass
-until then; as all parts of a frequent phrase are frequent, none that counts is ever lost.
+of which were frequent; as all parts of a frequent phrase are frequent, none is lost. Nearly all
+that a shard finds is rare even so, so a shard sends hashes with counts, packed by ranges
+of the hash. The counts of a range are summed over all shards of the group, and each shard is told
+by a bit per phrase whether its sum reaches ``min_count``. The first shard that has a phrase
+is told the sum too and gives its text. Phrases of a group are taken for the same if all 96 bits of
+two independent hashes agree; among 10^12 different ones a clash has a chance below 10^-5.
 
 Shards and indexes are files in the shared folder, written and read by tasks through pyarrow's file
 systems; tables hold their paths, bits and intervals. A repeated task writes a new file.
@@ -52,7 +53,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagetally.llm.common import partitions_of, record_batch, utf8_rows
-from pagetally.session import shared_dir
+from pagetally.session import discard, shared_dir
 from pagetally.sources.tables import materialize
 
 DEPTH = 4
@@ -143,9 +144,8 @@ def _folder(spark: SparkSession, purpose: str) -> str:
     return folder
 
 
-def shards(docs: DataFrame, group_col: str, text_col: str, shard_words: int = SHARD_WORDS) -> DataFrame:
+def shards(docs: DataFrame, folder: str, group_col: str, text_col: str, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(shard, grp, words, counts, path): word lists with counts, and the numbered text in a file."""
-    folder = _folder(docs.sparkSession, "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = pa.schema([("shard", pa.int64()), ("grp", pa.string()), ("words", pa.list_(pa.string())),
@@ -300,9 +300,9 @@ def _indexed(found: DataFrame) -> DataFrame:
                 source = _load(batch.column("path")[i].as_py())
                 text = pruned(_array(source, "ids").to_numpy(), kept)
                 words = _array(source, "words").take(pa.array(kept - 1))
-                hashes = np.array([xxhash.xxh64_intdigest(w) for w in words.to_pylist()], np.uint64)
+                digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words.to_pylist())), np.uint64)
                 path = _store(folder, pa.table({
-                    "words": _one(words), "hashes": _one(pa.array(hashes)),
+                    "words": _one(words), "hashes": _one(pa.array(digests[::2])), "checks": _one(pa.array(digests[1::2])),
                     "forward": _one(pa.array(transform(text))), "backward": _one(pa.array(transform(text[::-1])))}))
                 yield record_batch(out, [
                     [batch.column("shard")[i].as_py()], [batch.column("grp")[i].as_py()], [path], [len(text)]])
@@ -322,13 +322,15 @@ class _Round:
             known = Phrases(*(shorter[c].values.to_numpy() for c in ("low", "reverse_low", "size")))
         found = both.longer(known)
         symbols = both.symbols(found, length)
-        hashes = _array(source, "hashes").to_numpy()
-        mixed = np.zeros(len(found.low), np.uint64)
-        for word in symbols:
-            mixed = (mixed ^ hashes[word - 1]) * MIX
-            mixed ^= mixed >> np.uint64(29)
-        order = np.argsort(mixed, kind="stable")
-        self.hashes, self.found = mixed[order], found.of(order)
+        mixed = []
+        for name in ("hashes", "checks"):
+            of, value = _array(source, name).to_numpy(), np.zeros(len(found.low), np.uint64)
+            for word in symbols:
+                value = (value ^ of[word - 1]) * MIX
+                value ^= value >> np.uint64(29)
+            mixed.append(value)
+        order = np.argsort(mixed[0], kind="stable")
+        self.hashes, self.checks, self.found = mixed[0][order], mixed[1][order], found.of(order)
         self.symbols, self.words = [s[order] for s in symbols], _array(source, "words")
 
     def ranges(self, n: int) -> np.ndarray:
@@ -337,12 +339,24 @@ class _Round:
         return np.append(np.searchsorted(self.hashes, borders), len(self.hashes))
 
 
+def _packed(values: np.ndarray) -> bytes:
+    return zstandard.compress(values.tobytes(), 1)
+
+
+def _unpacked(data: list[bytes], kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(zstandard.decompress(d), kind) for d in data]
+
+
 def _sums(given: DataFrame, length: int, ranges: int, min_count: int) -> DataFrame:
-    """(shard, part, bits): which phrases of a shard in a range of the hash are frequent."""
+    """(shard, part, bits, owned, sums) for the phrases of a shard in a range of the hash.
+
+    A bit for each that is frequent, one for each that the shard gives the text of, and the latter's counts
+    in the whole group.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("grp", pa.string()), ("part", pa.int32()), ("shard", pa.int64()), ("hashes", pa.binary()),
-                         ("counts", pa.binary())])
+        out = pa.schema([("grp", pa.string()), ("part", pa.int32()), ("shard", pa.int64()),
+                         *((c, pa.binary()) for c in ("hashes", "checks", "counts"))])
         for batch in batches:
             for i in range(batch.num_rows):
                 shard, grp, path = (batch.column(c)[i].as_py() for c in ("shard", "grp", "path"))
@@ -352,31 +366,42 @@ def _sums(given: DataFrame, length: int, ranges: int, min_count: int) -> DataFra
                     a, b = at[part:part + 2]
                     if a < b:
                         # The first hash, then differences, whose high bytes are zero.
-                        packed = np.diff(own.hashes[a:b], prepend=np.uint64(0))
-                        yield record_batch(out, [[grp], [part], [shard], [zstandard.compress(packed.tobytes(), 1)],
-                                                 [zstandard.compress(own.found.size[a:b].astype(np.int64).tobytes(), 1)]])
+                        steps = np.diff(own.hashes[a:b], prepend=np.uint64(0))
+                        checks = (own.checks[a:b] >> np.uint64(32)).astype(np.uint32)
+                        yield record_batch(out, [[grp], [part], [shard], [_packed(steps)], [_packed(checks)],
+                                                 [_packed(own.found.size[a:b].astype(np.int64))]])
 
     def add(table: pa.Table) -> pa.Table:
         """All shards of a group in one range."""
-        hashes = [np.cumsum(np.frombuffer(zstandard.decompress(h), np.uint64), dtype=np.uint64)
-                  for h in table.column("hashes").to_pylist()]
-        counts = np.concatenate([np.frombuffer(zstandard.decompress(c), np.int64) for c in table.column("counts").to_pylist()])
-        _, which = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.zeros(int(which.max()) + 1, np.int64)
-        np.add.at(total, which, counts)
-        frequent = np.split((total >= min_count)[which], np.cumsum([len(h) for h in hashes])[:-1])
-        return pa.table({"shard": table.column("shard"), "part": table.column("part"),
-                         "bits": pa.array([np.packbits(f).tobytes() for f in frequent], pa.binary())})
+        steps, checks, counts = (_unpacked(table.column(c).to_pylist(), kind) for c, kind in (
+            ("hashes", np.uint64), ("checks", np.uint32), ("counts", np.int64)))
+        ends = np.cumsum([len(c) for c in counts])[:-1]
+        hashes = np.concatenate([np.cumsum(s, dtype=np.uint64) for s in steps])
+        checks, counts = np.concatenate(checks), np.concatenate(counts)
+        order = np.lexsort((checks, hashes))
+        new = np.concatenate(([True], (np.diff(hashes[order]) > 0) | (checks[order][1:] != checks[order][:-1])))
+        sums = np.empty(len(order), np.int64)
+        sums[order] = np.add.reduceat(counts[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+        owned = np.empty(len(order), bool)
+        owned[order] = new
+        owned &= sums >= min_count
+        told = [(np.packbits(t >= min_count).tobytes(), np.packbits(o).tobytes(), t[o].tobytes())
+                for t, o in zip(np.split(sums, ends), np.split(owned, ends), strict=True)]
+        return pa.table({"shard": table.column("shard"), "part": table.column("part"), **{
+            name: pa.array(list(values), pa.binary())
+            for name, values in zip(("bits", "owned", "sums"), zip(*told, strict=True), strict=True)}})
 
     columns = ["shard", "grp", "path", *(["shorter"] if length > 2 else [])]
-    sent = given.select(*columns).mapInArrow(send, "grp string, part int, shard long, hashes binary, counts binary")
-    return sent.groupBy("grp", "part").applyInArrow(add, "shard long, part int, bits binary")
+    sent = given.select(*columns).mapInArrow(
+        send, "grp string, part int, shard long, hashes binary, checks binary, counts binary")
+    return sent.groupBy("grp", "part").applyInArrow(
+        add, "shard long, part int, bits binary, owned binary, sums binary")
 
 
 def _counted(given: DataFrame, length: int, ranges: int) -> DataFrame:
-    """(shard, grp, path, phrases, counts, shorter) of shards with ``bits`` of their frequent phrases.
+    """(shard, grp, path, phrases, counts, shorter) of shards that were ``told`` their frequent phrases.
 
-    ``shorter`` holds the intervals of the phrases, from which the next round goes on.
+    Phrases are those that the shard owns, with counts in the whole group; ``shorter`` holds the intervals of all, from which the next round goes on.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,16 +414,21 @@ def _counted(given: DataFrame, length: int, ranges: int) -> DataFrame:
                 shard, grp, path = (batch.column(c)[i].as_py() for c in ("shard", "grp", "path"))
                 own = _Round(path, batch.column("shorter")[i] if length > 2 else None, length)
                 at, chosen = own.ranges(ranges), np.zeros(len(own.hashes), bool)
+                sums = np.zeros(len(own.hashes), np.int64)
                 for told in batch.column("told")[i].as_py():
                     a, b = at[told["part"]:told["part"] + 2]
-                    chosen[a:b] = np.unpackbits(np.frombuffer(told["bits"], np.uint8), count=b - a)
+                    bits, owned = (np.unpackbits(np.frombuffer(told[c], np.uint8), count=b - a).astype(bool)
+                                   for c in ("bits", "owned"))
+                    chosen[a:b] = bits
+                    sums[a:b][owned] = np.frombuffer(told["sums"], np.int64)
+                owned = sums > 0
+                phrases = pc.binary_join_element_wise(
+                    *(own.words.take(pa.array(s[owned] - 1)) for s in own.symbols), " ")
                 found = own.found.of(chosen)
-                order = np.argsort(found.low)
-                found, symbols = found.of(order), [s[chosen][order] for s in own.symbols]
-                phrases = pc.binary_join_element_wise(*(own.words.take(pa.array(s - 1)) for s in symbols), " ")
+                found = found.of(np.argsort(found.low))
                 low, back, size = (_one(pa.array(v.astype(np.int64))) for v in (found.low, found.reverse_low, found.size))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard]), pa.array([grp]), pa.array([path]), _one(phrases), size,
+                    [pa.array([shard]), pa.array([grp]), pa.array([path]), _one(phrases), _one(pa.array(sums[owned])),
                      pa.StructArray.from_arrays([low, back, size], ["low", "reverse_low", "size"])], schema=out)
 
     columns = ["shard", "grp", "path", "told", *(["shorter"] if length > 2 else [])]
@@ -407,11 +437,10 @@ def _counted(given: DataFrame, length: int, ranges: int) -> DataFrame:
              "shorter struct<low: array<long>, reverse_low: array<long>, size: array<long>>")
 
 
-def _totals(shards: DataFrame, phrases: str, min_count: int, length: int) -> DataFrame:
-    """(grp, phrase, f, len) of phrases that are frequent in their group, from lists with counts."""
-    rows = shards.select("grp", F.explode(F.arrays_zip(F.col(phrases).alias("phrase"), "counts")).alias("p"))
-    sums = rows.groupBy("grp", "p.phrase").agg(F.sum("p.counts").alias("f")).where(F.col("f") >= min_count)
-    return materialize(sums.withColumn("len", F.lit(length)), "frequent")
+def _listed(shards: DataFrame, phrases: str) -> DataFrame:
+    """(grp, phrase, f) from lists with counts."""
+    return shards.select("grp", F.explode(F.arrays_zip(F.col(phrases).alias("phrase"), F.col("counts").alias("f"))).alias(
+        "p")).select("grp", "p.*")
 
 
 def frequent_phrases(
@@ -419,24 +448,29 @@ def frequent_phrases(
     shard_words: int = SHARD_WORDS, range_words: int = RANGE_WORDS,
 ) -> tuple[DataFrame, DataFrame]:
     """Phrases of up to DEPTH words with their counts, (grp, phrase, f, len), and words per group, (grp, n)."""
-    texts = materialize(shards(docs, group_col, text_col, shard_words), "shards")
+    spark = docs.sparkSession
+    folder = _folder(spark, "texts")
+    texts = materialize(shards(docs, folder, group_col, text_col, shard_words), "shards")
     words = texts.select("shard", "grp", F.posexplode("words").alias("at", "phrase"))
-    sizes = texts.select("grp", F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b).alias("n")).groupBy(
-        "grp").agg(F.sum("n").alias("n"))
-    frequent = [_totals(texts, "words", min_count, 1)]
+    sizes = materialize(texts.select(
+        "grp", F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b).alias("n")).groupBy("grp").agg(
+        F.sum("n").alias("n")), "sizes")
+    single = _listed(texts, "words").groupBy("grp", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count)
+    frequent = [materialize(single.withColumn("len", F.lit(1)), "frequent")]
     kept = words.join(frequent[0], ["grp", "phrase"]).groupBy("shard").agg(
         # At most the words of one shard.
         F.collect_list((F.col("at") + 1).cast("long")).alias("kept"))
     found = materialize(texts.select("shard", "grp", "path").join(kept, "shard"), "kept")
     given = materialize(_indexed(_spread(found)), "indexes")
+    discard(spark, folder)
     # Ranges of the hash, so that a range of the largest group holds about so many phrases.
     largest = given.groupBy("grp").agg(F.sum("n").alias("n")).agg(F.max("n").alias("n")).first().n
     ranges = max(1, -(-(largest or 0) // range_words))
     for length in range(2, DEPTH + 1):
-        bits = _sums(_spread(given), length, ranges, min_count)
-        told = materialize(bits.groupBy("shard").agg(F.collect_list(F.struct("part", "bits")).alias("told")), "told")
+        told = materialize(_sums(_spread(given), length, ranges, min_count).groupBy("shard").agg(
+            F.collect_list(F.struct("part", "bits", "owned", "sums")).alias("told")), "told")
         given = materialize(_counted(_spread(given.join(told, "shard")), length, ranges), "counted")
-        frequent.append(_totals(given, "phrases", min_count, length))
+        frequent.append(_listed(given, "phrases").withColumn("len", F.lit(length)))
     return functools.reduce(DataFrame.unionByName, frequent), sizes
 
 
@@ -478,5 +512,5 @@ def collocations(
     best = Window.partitionBy("grp").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
     flat = free.select("grp", "phrase", "a", "cut.score", "cut.l", "cut.r")
     ranked = flat.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
-    return ranked.join(materialize(sizes, "sizes"), "grp").select(
+    return ranked.join(sizes, "grp").select(
         "grp", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
