@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark import SparkContext
 from pyspark.sql import SparkSession
@@ -45,6 +47,8 @@ def build_session(
 
 
 _used_roots: set[str] = set()
+# The folders named in the innermost ``scratch`` block, if there is one.
+_scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
 
 
 def _local_path(spark: SparkSession, root: str) -> bool:
@@ -71,7 +75,36 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if root not in _used_roots:
         _used_roots.add(root)
         atexit.register(_delete_quietly, root, spark._jsc.hadoopConfiguration())
-    return f"{root}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{root}/{purpose}-{uuid.uuid4().hex}"
+    if (owned := _scope.get()) is not None:
+        owned.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def _within(owned: list[str] | None) -> Iterator[None]:
+    token = _scope.set(owned)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[], contextlib.AbstractContextManager[None]]]:
+    """Delete the shared folders named inside when the block ends, by an exception too.
+
+    What is returned from the block must not read them. Gives a function for results that
+    outlive it: folders named under ``with outside():`` belong to the block around this one, or
+    stay until the process ends if there is none.
+    """
+    outer, owned = _scope.get(), []
+    try:
+        with _within(owned):
+            yield lambda: _within(outer)
+    finally:
+        for path in owned:
+            _delete_quietly(path, spark._jsc.hadoopConfiguration())
 
 
 def _delete_quietly(root: str, configuration) -> None:

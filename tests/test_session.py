@@ -7,7 +7,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from pagetally.session import discard, shared_dir
+from pagetally.session import discard, scratch, shared_dir
 from pagetally.sources.tables import materialize
 
 
@@ -86,3 +86,33 @@ def test_materialize_keeps_rows_types_and_nulls(spark):
 
 def test_materialize_of_nothing_can_be_read(spark):
     assert materialize(spark.range(5).where("id > 9"), "test").isEmpty()
+
+
+def folders(root):
+    return sorted(d for path, names, _ in os.walk(root) if os.path.basename(path).startswith("local-") for d in names)
+
+
+def test_a_scratch_block_leaves_only_what_was_made_outside(spark):
+    root = spark.conf.get("spark.checkpoint.dir")
+    before = folders(root)
+    with scratch(spark) as outside:
+        inner = materialize(spark.range(5), "inner")
+        with scratch(spark) as further:
+            materialize(spark.range(2), "innermost")
+            with further():
+                handed = materialize(spark.range(4), "handed")
+        assert handed.count() == 4
+        with outside():
+            kept = materialize(inner.where("id > 1"), "kept")
+        assert len(folders(root)) == len(before) + 3
+    assert kept.count() == 3
+    assert [d.partition("-")[0] for d in folders(root) if d not in before] == ["kept"]
+
+
+def test_a_scratch_block_that_fails_leaves_nothing(spark):
+    root = spark.conf.get("spark.checkpoint.dir")
+    before = folders(root)
+    with pytest.raises(ZeroDivisionError), scratch(spark):
+        materialize(spark.range(5), "inner")
+        1 / 0  # noqa: B018
+    assert folders(root) == before
