@@ -18,25 +18,33 @@ non-null id in it (null if there is none); an empty table gives no rows.
 
 ``similar_copies`` is for a similarity instead of a distance. Two texts whose shingles agree
 to 0.8 (Jaccard) have fingerprints about ten bits apart, where blocks would have to be so
-short that nearly all pairs meet. It takes candidates by the ``SMALLEST`` smallest shingle
-hashes of each text and decides them on all shingles. Two texts with up to 90 distinct
-shingles together are always found, as those hold a prefix that similar texts must share; of
-longer ones a pair of just 0.8 is missed by chance, in less than one of 10^8 cases. Links
-found through the first text of a bucket spare the pairs inside a component; what is left is
-compared pair by pair, so every candidate pair is either decided or already connected.
+short that nearly all pairs meet. Its candidates share a band of ``BAND_ROWS`` minimum hashes
+instead, of which a text has ``BANDS``: at 0.8 a pair is met with probability 0.997, at 0.9 always
+but for 10^-7, while texts that share a line or a fifth of their shingles meet in none. A candidate
+is dropped if the fingerprints are further apart than similar texts ever are, and what is left
+is decided on all shingles.
+
+Members of a band are compared with its first one, and pairs that are connected by then need no
+more. Of what is still apart, small bands are compared pair by pair. Texts in larger bands are
+joined by their rarest shingles instead: of two texts similar to s, one of n shingles has one
+in common with the other among its n - ceil(s n) + 1 rarest, so this way is exact, and texts
+that share a form but not its filling have no rare shingle in common. No candidate is dropped
+to bound a band.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetally.llm.common import connected_components, id_type, record_batch, slim, utf8_rows
+from pagetally.session import scratch
 from pagetally.sources.tables import materialize
 
 SEED = 42
@@ -45,9 +53,12 @@ BITS_APART = 2
 BLOCK_PAIRS = ((0, 16), (0, 32), (0, 48), (16, 32), (16, 48), (32, 48))
 MAX_BUCKET = 64
 HASHES_AT_ONCE = 1 << 16
-SMALLEST = 24
-# Of the SMALLEST hashes of two long texts together, so many at least are in both.
-SHARED_OF_SMALLEST = 6
+BANDS, BAND_ROWS = 32, 8
+# Bands of so many texts or fewer are compared pair by pair.
+SMALL_BAND = 16
+# Fingerprints of similar texts of enough shingles are about 10 bits apart, with a deviation of 3.
+FAR_APART, ENOUGH = 26, 32
+SHINGLES_AT_ONCE = 4096
 SIMILARITY = 0.8
 
 
@@ -160,22 +171,47 @@ def shingle_hashes(text: bytes | None, shingle_words: int = 5) -> np.ndarray:
     return np.unique(np.fromiter(hashes, np.uint64, len(starts)).view(np.int64))
 
 
-def _smallest(rows: DataFrame, shingle_words: int) -> DataFrame:
-    """(row, digest, n, low): digest of all shingles, their number and the smallest ones."""
+@functools.cache
+def _permutations() -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and terms, one of each for a minimum hash."""
+    rng = np.random.default_rng(SEED)
+    n = BANDS * BAND_ROWS
+    return tuple(rng.integers(0, 1 << 64, n, np.uint64) | np.uint64(odd) for odd in (1, 0))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """The keys of a text's bands; the number of the band is part of its key."""
+    factors, terms = _permutations()
+    least = np.full(len(factors), (1 << 64) - 1, np.uint64)
+    values = hashes.view(np.uint64)
+    for i in range(0, len(values), SHINGLES_AT_ONCE):
+        least = np.minimum(least, (values[i:i + SHINGLES_AT_ONCE, None] * factors + terms).min(0))
+    rows = least.reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), n) for n, row in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def _signatures(rows: DataFrame, shingle_words: int) -> DataFrame:
+    """(row, digest, n, fp, bands): digest of the distinct shingles, their number, fingerprint and bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("row", pa.int64()), ("digest", pa.string()), ("n", pa.int64()),
-                         ("low", pa.list_(pa.int64()))])
+        out = pa.schema([("row", pa.int64()), ("digest", pa.string()), ("n", pa.int64()), ("fp", pa.int64()),
+                         ("bands", pa.list_(pa.int64()))])
         for batch in batches:
-            columns = [[], [], [], []]
+            columns = [[], [], [], [], []]
             for key, text in utf8_rows(batch):
                 hashes = shingle_hashes(text, shingle_words)
-                found = key, xxhash.xxh3_128_hexdigest(hashes.tobytes()), len(hashes), hashes[:SMALLEST].tolist()
+                ones = np.zeros(64, np.int64)
+                for i in range(0, len(hashes), HASHES_AT_ONCE):
+                    part = hashes[i:i + HASHES_AT_ONCE].astype(">i8")
+                    ones += np.unpackbits(part.view(np.uint8)).reshape(-1, 64).sum(0, np.int32)
+                bits = np.packbits(ones * 2 > len(hashes)).tobytes()
+                found = (key, xxhash.xxh3_128_hexdigest(hashes.tobytes()), len(hashes),
+                         int.from_bytes(bits, "big", signed=True), bands(hashes) if len(hashes) else [])
                 for column, value in zip(columns, found, strict=True):
                     column.append(value)
             yield record_batch(out, columns)
 
-    return rows.mapInArrow(run, "row long, digest string, n long, low array<long>")
+    return rows.mapInArrow(run, "row long, digest string, n long, fp long, bands array<long>")
 
 
 def _all_shingles(rows: DataFrame, shingle_words: int) -> DataFrame:
@@ -191,8 +227,7 @@ def _all_shingles(rows: DataFrame, shingle_words: int) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, rows: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """Those of the pairs (u, v) of rows whose shingles are similar."""
-    pairs = materialize(pairs.distinct(), "pairs")
+    """Those of the distinct pairs (u, v) of rows whose shingles are similar, as a written table."""
     nodes = pairs.select("u").union(pairs.select("v")).distinct()
     texts = rows.join(nodes, rows["id"] == nodes["u"], "left_semi").select("id", "text")
     sets = materialize(_all_shingles(texts, shingle_words), "shingles")
@@ -203,6 +238,79 @@ def _alike(pairs: DataFrame, rows: DataFrame, shingle_words: int, similarity: fl
     return materialize(found.select("u", "v"), "alike")
 
 
+def _possible(met: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (u, v) of structs (node, n, fp) that may be similar by size and fingerprint."""
+    sized = met.where(F.least("u.n", "v.n") >= F.lit(similarity) * F.greatest("u.n", "v.n") - 1e-9)
+    apart = F.bit_count(F.col("u.fp").bitwiseXOR(F.col("v.fp")))
+    near = sized.where((F.least("u.n", "v.n") < ENOUGH) | (apart <= FAR_APART))
+    low, high = F.least("u.node", "v.node"), F.greatest("u.node", "v.node")
+    return materialize(near.select(low.alias("u"), high.alias("v")).where("u < v").distinct(), "pairs")
+
+
+def _labelled(keys: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (key, of) of keys that still hold texts of several components, with ``label``."""
+    names = connected_components(links)
+    named = materialize(keys.join(names, keys["of.node"] == names["node"], "left").select(
+        "key", "of", F.coalesce("component", "of.node").alias("label")), "labelled")
+    open_keys = named.groupBy("key").agg(
+        F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("members")).where("a < b")
+    return materialize(named.join(open_keys.select("key", "members"), "key"), "open")
+
+
+def _pairs_within(keys: DataFrame) -> DataFrame:
+    """Pairs of texts of different components that share a key."""
+    side = lambda c: keys.select("key", F.col("of").alias(c), F.col("label").alias(f"of_{c}"))
+    return side("u").join(side("v"), "key").where("u.node < v.node AND of_u <> of_v").select("u", "v")
+
+
+def _with_first(keys: DataFrame) -> DataFrame:
+    """Pairs of each text with the first one of a key."""
+    firsts = keys.groupBy("key").agg(F.min("of").alias("u"), F.count("*").alias("members")).where("members > 1")
+    return keys.withColumnRenamed("of", "v").join(firsts, "key").where("u.node <> v.node").select("u", "v")
+
+
+def _rare_keys(texts: DataFrame, classes: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """(key, of): the rarest shingles of each text, of which similar texts share one.
+
+    Shingles are counted over the texts given and those of one text only are left out.
+    """
+    hashes = _all_shingles(texts, shingle_words).select("node", F.explode("hashes").alias("key"))
+    hashes = materialize(hashes, "exploded")
+    counts = materialize(hashes.groupBy("key").agg(F.count("*").alias("times")), "times")
+    order = Window.partitionBy("node").orderBy("times", "key")
+    of_node = Window.partitionBy("node")
+    ranked = hashes.join(counts, "key").select(
+        "node", "key", "times", F.row_number().over(order).alias("place"), F.count("*").over(of_node).alias("all"))
+    needed = F.col("all") - F.ceil(F.lit(similarity) * F.col("all") - 1e-9) + 1
+    rare = ranked.where((F.col("place") <= needed) & (F.col("times") > 1)).select("key", "node")
+    of = classes.select(F.struct("node", "n", "fp").alias("of"))
+    return materialize(rare.join(of, rare["node"] == of["of.node"]).select("key", "of"), "rare")
+
+
+def similar_links(
+    classes: DataFrame, rows: DataFrame, shingle_words: int, similarity: float, small_band: int = SMALL_BAND,
+) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (u, v) that connect similar texts of ``classes`` (node, n, fp, bands), and the
+    tables of pairs that were decided on all their shingles."""
+    decided: list[DataFrame] = []
+
+    def decide(met: DataFrame) -> DataFrame:
+        decided.append(_possible(met, similarity))
+        return _alike(decided[-1], rows, shingle_words, similarity)
+
+    keys = classes.where("n > 0").select(F.explode("bands").alias("key"), F.struct("node", "n", "fp").alias("of"))
+    links = decide(_with_first(keys))
+    apart = _labelled(keys, links)
+    links = links.union(decide(_pairs_within(apart.where(F.col("members") <= small_band))))
+    large = apart.where(F.col("members") > small_band).select("of").distinct()
+    if not large.isEmpty():
+        texts = rows.join(large, rows["id"] == large["of.node"], "left_semi")
+        rare = _rare_keys(texts, classes, shingle_words, similarity)
+        links = links.union(decide(_with_first(rare)))
+        links = links.union(decide(_pairs_within(_labelled(rare, links))))
+    return links, decided
+
+
 def similar_copies(
     docs: DataFrame, row_col: str, text_col: str = "text",
     shingle_words: int = 5, similarity: float = SIMILARITY,
@@ -210,38 +318,19 @@ def similar_copies(
     """(row, component) per row of ``docs``: the smallest row that similar texts lead to.
 
     ``row_col`` is a long that is unique and stays the same when ``docs`` is read again. Texts
-    without words are alike. A similarity below ``SIMILARITY`` would need more hashes.
+    without words are alike. A similarity below ``SIMILARITY`` would need more bands.
     """
     if similarity < SIMILARITY:
         raise ValueError(f"similarity below {SIMILARITY}")
     rows = slim(docs, row_col, text_col)
-    found = materialize(_smallest(rows, shingle_words), "smallest")
-    classes = materialize(found.groupBy("digest").agg(
-        F.min("row").alias("node"), F.first("n").alias("n"), F.first("low").alias("low")), "classes")
-    prefix = F.least(F.size("low"), (F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1).cast("int"))
-    keys = classes.where("n > 0").select("node", "n", "low", F.explode(F.slice("low", F.lit(1), prefix)).alias("key"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("first")).where("members > 1")
-    shared = materialize(keys.join(sizes, "key"), "shared")
-    side = lambda df, c: df.select(
-        "key", "label", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("low").alias(f"low_{c}"))
-
-    def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-        met = side(left, "u").join(side(right, "v").withColumnRenamed("label", "other"), "key").where("label <> other")
-        sized = met.where(F.least("n_u", "n_v") >= F.lit(similarity) * F.greatest("n_u", "n_v") - 1e-9)
-        lowest = F.slice(F.array_sort(F.array_union("low_u", "low_v")), 1, SMALLEST)
-        both = F.size(F.array_intersect(F.array_intersect(lowest, "low_u"), "low_v"))
-        return sized.where((F.least("n_u", "n_v") < SMALLEST) | (both >= SHARED_OF_SMALLEST)).select("u", "v")
-
-    fresh = shared.withColumn("label", F.col("node"))
-    links = _alike(candidates(fresh.where("node = first"), fresh), rows, shingle_words, similarity)
-    linked = connected_components(links)
-    named = materialize(shared.join(linked, "node", "left").select(
-        "key", "node", "n", "low", "first", F.coalesce("component", "node").alias("label")), "named")
-    # Only buckets that still hold several components have pairs to decide.
-    open_keys = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
-    rest = materialize(named.join(open_keys, "key", "left_semi").where("node <> first"), "rest")
-    more = _alike(candidates(rest, rest).where("u < v"), rows, shingle_words, similarity)
-    ends = connected_components(links.union(more))
-    of_class = materialize(classes.join(ends, "node", "left").select(
-        "digest", F.coalesce("component", "node").alias("component")), "ends")
-    return found.join(of_class, "digest").select(F.col("row").alias(row_col), "component")
+    with scratch(docs.sparkSession) as outside:
+        found = materialize(_signatures(rows, shingle_words), "signatures")
+        classes = materialize(found.groupBy("digest").agg(
+            F.min("row").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp"),
+            F.first("bands").alias("bands")), "classes")
+        links, _ = similar_links(classes, rows, shingle_words, similarity)
+        ends = connected_components(links)
+        of_class = materialize(classes.join(ends, "node", "left").select(
+            "digest", F.coalesce("component", "node").alias("component")), "ends")
+        with outside():
+            return materialize(found.join(of_class, "digest").select(F.col("row").alias(row_col), "component"), "copies")

@@ -98,3 +98,64 @@ def test_a_graph_that_does_not_settle_raises(spark):
 
 def test_no_documents(spark):
     assert simhash.near_copies(documents(spark, [])).isEmpty()
+
+
+def sets_of(texts):
+    return [{tuple(t.split()[i:i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def classes_of(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    found = simhash._signatures(rows, 5)
+    return rows, found.selectExpr("row AS node", "n", "fp", "bands")
+
+
+@pytest.mark.parametrize("n", [250, 1000])
+def test_a_common_line_makes_no_pairs(spark, n):
+    """Texts of 25 own words and one line in common; pairs grow with the texts, not with their square."""
+    rng, names = seeded(4), [f"word{i}" for i in range(3000)]
+    line = words(rng, 12, names)
+    rows, classes = classes_of(spark, [words(rng, 25, names) + " " + line for _ in range(n)])
+    links, decided = simhash.similar_links(classes, rows, 5, 0.8)
+    assert links.isEmpty() and sum(d.count() for d in decided) < 2 * n
+
+
+@pytest.mark.parametrize("small_band", [16, 1])
+def test_texts_of_one_form_are_decided_exactly(spark, small_band):
+    """Texts that share three quarters of their words: alike for bands, not similar enough.
+
+    With a small band of one text, rare shingles decide what the bands' first texts leave open.
+    """
+    rng, names = seeded(5), [f"word{i}" for i in range(3000)]
+    form = words(rng, 75, names)
+    texts = [form + " " + words(rng, 25, names) for _ in range(120)]
+    # Every third text has a copy with its last word changed.
+    texts += [t.rsplit(" ", 1)[0] + " changed" for t in texts[::3]]
+    rows, classes = classes_of(spark, texts)
+    links, decided = simhash.similar_links(classes, rows, 5, 0.8, small_band)
+    found, sets = {tuple(r) for r in links.collect()}, sets_of(texts)
+    want = {(3 * i, 120 + i) for i in range(40)}
+    assert all(jaccard(sets[u], sets[v]) >= 0.8 for u, v in found) and found == want
+    if small_band == 1:
+        assert sum(d.count() for d in decided) < 25 * len(texts)
+
+
+def test_recall_of_similar_pairs(spark):
+    """Of pairs with a similarity of 0.8 to 0.87, alone in their bands, at least 0.97 are found."""
+    rng, names = seeded(6), [f"word{i}" for i in range(3000)]
+    texts = []
+    while len(texts) < 800:
+        text = words(rng, rng.choice((60, 200, 400)), names).split()
+        other = list(text)
+        for _ in range(max(1, len(text) // 50)):
+            other[rng.randrange(len(other))] = "changed"
+        pair = [" ".join(text), " ".join(other)]
+        if 0.8 <= jaccard(*sets_of(pair)) <= 0.87:
+            texts += pair
+    rows, classes = classes_of(spark, texts)
+    found = {tuple(r) for r in simhash.similar_links(classes, rows, 5, 0.8)[0].collect()}
+    assert found <= {(i, i + 1) for i in range(0, 800, 2)} and len(found) >= 0.97 * 400
