@@ -21,10 +21,16 @@ def id_type(docs: DataFrame, id_col: str) -> str:
 
 
 def utf8_rows(batch: pa.RecordBatch) -> Iterator[tuple[object, bytes | None]]:
-    """Ids and texts of a batch, the texts as bytes and one at a time."""
+    """Ids and texts of a batch, the texts as bytes and one at a time.
+
+    What Arrow holds on to from batches before is given back, as an idle worker would keep it.
+    """
+    pa.default_memory_pool().release_unused()
     texts = batch.column("text").cast(pa.large_binary())
     for key, text in zip(batch.column("id"), texts, strict=True):
         yield key.as_py(), text.as_py()
+    del texts
+    pa.default_memory_pool().release_unused()
 
 
 def record_batch(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:

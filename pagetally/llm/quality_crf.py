@@ -5,10 +5,12 @@ boilerplate by Viterbi decoding of a two-label linear-chain conditional random f
 A document is kept if it passes the counted rules and content lines hold at least
 ``min_content`` of its words.
 
-The field is fitted by maximum likelihood on a bounded sample of labelled documents
-(``per_class`` of each quality; those with the smallest hash of their id). All lines of a
-good document count as content and all of a bad one as boilerplate; only feature bits, four
-bytes a line, reach the driver. Without both qualities in the labels the fixed
+The field is fitted by maximum likelihood on a bounded sample of labelled documents:
+``per_class`` ids of each quality, those with the smallest hashes, one row of each id (the one whose
+lines' features have the smallest hash) and ``SAMPLED_SEGMENTS`` segments of ``SEGMENT_LINES`` lines
+of each row, spread evenly over all of its lines. All lines of a good document count as content and
+all of a bad one as boilerplate. At most four bytes for each of these lines reach the driver,
+however often an id is repeated or however long a text is. Without both qualities in the labels the fixed
 ``PRIOR`` weights are used.
 
 Defined results: a null or empty text has no words and fails the counted rules; repeated
@@ -44,6 +46,7 @@ MAX_REPEAT_PERCENT = 50
 MIN_CONTENT = 0.5
 PER_CLASS = 1000
 SEGMENT_LINES = 64
+SAMPLED_SEGMENTS = 8
 
 FEATURES = (
     "always", "shouted", "some symbols", "many symbols", "digits", "exclaims",
@@ -236,7 +239,11 @@ def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     quality_col: str = "quality", per_class: int = PER_CLASS,
 ) -> Field:
-    """Fit on at most ``per_class`` labelled ids of each quality (0 bad, 1 good)."""
+    """Fit on at most ``per_class`` labelled rows of each quality (0 bad, 1 good).
+
+    Rows without an id or a quality, and ids without a row, teach nothing; an id with both
+    qualities counts for both.
+    """
     chosen = None
     for quality in (0, 1):
         own = (labels.where(labels[quality_col] == quality)
@@ -246,18 +253,29 @@ def fit(
         chosen = own if chosen is None else chosen.union(own)
     sample = slim(docs, id_col, text_col)
     # At most 2 * per_class ids.
-    sample = sample.join(F.broadcast(chosen), sample["id"] == chosen["key"]).select("quality", "text")
+    sample = sample.join(F.broadcast(chosen), sample["id"] == chosen["key"]).select("key", "quality", "text")
+    kind = sample.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("quality", pa.int32()), ("bits", pa.list_(pa.int32()))])
         for batch in batches:
+            out = pa.schema([batch.schema.field("key"), ("quality", pa.int32()), ("bits", pa.list_(pa.int32()))])
             texts = batch.column("text").cast(pa.large_binary())
             yield record_batch(out, [
-                batch.column("quality").to_pylist(), [read_document(t.as_py())[1] for t in texts]])
+                batch.column("key").to_pylist(), batch.column("quality").to_pylist(),
+                [sampled_lines(read_document(t.as_py())[1]) for t in texts]])
 
-    rows = sample.mapInArrow(run, "quality int, bits array<int>").collect()
+    found = sample.mapInArrow(run, f"key {kind}, quality int, bits array<int>").where(F.size("bits") > 0)
+    rows = found.groupBy("key", "quality").agg(F.min(F.struct(F.xxhash64("bits").alias("hash"), "bits")).alias("one"))
     # In a fixed order, so that the same rows give the same field.
-    return train(sorted((list(r.bits), r.quality) for r in rows if r.bits))
+    return train(sorted((list(r.bits), r.quality) for r in rows.select("quality", "one.bits").collect()))
+
+
+def sampled_lines(lines: list[int]) -> list[int]:
+    """All of a few lines; of many, segments spread evenly over them."""
+    if len(lines) <= SAMPLED_SEGMENTS * SEGMENT_LINES:
+        return lines
+    starts = [i * (len(lines) - SEGMENT_LINES) // (SAMPLED_SEGMENTS - 1) for i in range(SAMPLED_SEGMENTS)]
+    return [bits for a in starts for bits in lines[a:a + SEGMENT_LINES]]
 
 
 def judge(

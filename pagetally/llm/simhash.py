@@ -58,7 +58,8 @@ BANDS, BAND_ROWS = 32, 8
 SMALL_BAND = 16
 # Fingerprints of similar texts of enough shingles are about 10 bits apart, with a deviation of 3.
 FAR_APART, ENOUGH = 26, 32
-SHINGLES_AT_ONCE = 4096
+# The minimum hashes of so many shingles at once stay in a core's cache.
+SHINGLES_AT_ONCE = 128
 SIMILARITY = 0.8
 
 

@@ -34,6 +34,7 @@ Spans are in bytes of the text and may cut a character; ``clean`` drops the cut
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -47,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagetally.llm.common import id_type, partitions_of, record_batch, slim, utf8_rows
-from pagetally.session import discard, shared_dir
+from pagetally.session import discard, scratch, shared_dir
 from pagetally.sources.tables import materialize
 
 LENGTH = 200
@@ -400,33 +401,37 @@ def repeated_spans(
     """
     spark = docs.sparkSession
     ids = materialize(_keyed(docs, id_col, text_col), "ids")
-    texts = _packed(docs, id_col, text_col).groupBy("k1", "k2").agg(
-        F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("packed").alias("packed"))
-    store = Table(texts, "texts", ("k1", "k2"))
-
-    family = Family(spark)
-    for b in range(batches):
-        family.add(_heads(store.read().where(F.pmod("k2", F.lit(batches)) == b)))
-    noted = materialize(family.repeated_heads(), "repeated")
-    family.drop()
-
-    runs = materialize(_runs(store.read()).join(noted, "head"), "runs")
-    kinds = materialize(
-        runs.groupBy("head", "same").agg(
-            F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place", "first", "last")).alias("one")), "kinds")
-    sizes = materialize(kinds.groupBy("head").agg(
-        F.count("*").alias("size"), F.min("n").alias("fewest")).where("fewest = 1 AND size > 1"), "sizes")
-    wanted = kinds.join(sizes, "head").select("head", "size", "one.*")
-    edges = materialize(_edges(store.read(), wanted), "edges")
-    parts = _compare_small(edges.where(F.col("size") <= SMALL_GROUP)).union(
-        _compare_large(edges.where(F.col("size") > SMALL_GROUP)))
-    whole = runs.join(kinds.where("n > 1").select("head", "same"), ["head", "same"], "left_semi").select(
-        "k1", "k2", "first", "last")
-    # A run stands for its kind only if it is the single one, so each window found here is its own.
-    starts = whole.union(parts).groupBy("k1", "k2").agg(
-        F.collect_list(F.struct("first", "last")).alias("starts"))
-    cut = materialize(_cut(store.read().join(starts, ["k1", "k2"], "left")), "cut")
-    store.drop()
+    # Folders and catalog entries made on the way go at the end, after a failure too.
+    with scratch(spark) as outside, contextlib.ExitStack() as ends:
+        texts = _packed(docs, id_col, text_col).groupBy("k1", "k2").agg(
+            F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("packed").alias("packed"))
+        store = Table(texts, "texts", ("k1", "k2"))
+        ends.callback(store.drop)
+
+        family = Family(spark)
+        ends.callback(family.drop)
+        for b in range(batches):
+            family.add(_heads(store.read().where(F.pmod("k2", F.lit(batches)) == b)))
+        noted = materialize(family.repeated_heads(), "repeated")
+        family.drop()
+
+        runs = materialize(_runs(store.read()).join(noted, "head"), "runs")
+        kinds = materialize(
+            runs.groupBy("head", "same").agg(
+                F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place", "first", "last")).alias("one")), "kinds")
+        sizes = materialize(kinds.groupBy("head").agg(
+            F.count("*").alias("size"), F.min("n").alias("fewest")).where("fewest = 1 AND size > 1"), "sizes")
+        wanted = kinds.join(sizes, "head").select("head", "size", "one.*")
+        edges = materialize(_edges(store.read(), wanted), "edges")
+        parts = _compare_small(edges.where(F.col("size") <= SMALL_GROUP)).union(
+            _compare_large(edges.where(F.col("size") > SMALL_GROUP)))
+        whole = runs.join(kinds.where("n > 1").select("head", "same"), ["head", "same"], "left_semi").select(
+            "k1", "k2", "first", "last")
+        # A run stands for its kind only if it is the single one, so each window found here is its own.
+        starts = whole.union(parts).groupBy("k1", "k2").agg(
+            F.collect_list(F.struct("first", "last")).alias("starts"))
+        with outside():
+            cut = materialize(_cut(store.read().join(starts, ["k1", "k2"], "left")), "cut")
     return ids, cut
 
 
@@ -492,24 +497,26 @@ def clean(
     """
     _, cut = repeated_spans(docs, id_col, text_col, batches)
     others = [c for c in docs.columns if c != text_col]
-    kept = others + ["_null", "_k1", "_k2"]
+    free = "_"
+    while any(c.lower().startswith(free) for c in docs.columns):
+        free += "_"
+    null, k1, k2, left, text = (free + c for c in ("null", "k1", "k2", "kept", "text"))
     small = docs.select(
-        *others, docs[text_col].isNull().alias("_null"),
+        *others, docs[text_col].isNull().alias(null),
         *[F.conv(F.substring(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256), at, 16), 16, -10).cast("long")
-          .alias(name) for at, name in ((1, "_k1"), (17, "_k2"))])
-    joined = small.join(cut.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("kept").alias("_kept")),
-                        ["_k1", "_k2"]).select(*kept, "_kept")
-    schema = T.StructType([docs.schema[c] for c in others] + [T.StructField("_text", T.StringType())])
+          .alias(name) for at, name in ((1, k1), (17, k2))])
+    joined = small.join(cut.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("kept").alias(left)),
+                        [k1, k2]).select(*others, null, left)
+    schema = T.StructType([docs.schema[c] for c in others] + [T.StructField(text, T.StringType())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in rows:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                null, packed = part.column("_null"), part.column("_kept")
                 texts = [None if n.as_py() else unpack(p.as_py()).decode("utf-8", "ignore")
-                         for n, p in zip(null, packed, strict=True)]
+                         for n, p in zip(part.column(null), part.column(left), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in others] + [pa.array(texts, pa.string())], [*others, "_text"])
+                    [part.column(c) for c in others] + [pa.array(texts, pa.string())], [*others, text])
 
-    return joined.mapInArrow(run, schema).withColumnRenamed("_text", text_col).select(*docs.columns)
+    return joined.mapInArrow(run, schema).withColumnRenamed(text, text_col).select(*docs.columns)

@@ -92,6 +92,21 @@ def test_mixed_documents_are_judged_by_their_share_of_content(spark):
     assert row.kept and row.content_words > 200
 
 
+def test_the_sample_is_bounded_in_rows_and_lines(spark):
+    """One id in very many rows, and a text of very many lines, teach no more than any other."""
+    rng = seeded(7)
+    texts = [(i, prose(rng)) for i in range(6)] + [(i, junk(rng)) for i in range(6, 12)]
+    labels = spark.createDataFrame([(i, int(i < 6)) for i in range(12)], "doc_id long, quality int")
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    often = docs.union(spark.range(20_000).selectExpr("3L", "cast(null as string)").toDF("doc_id", "text")).union(
+        docs.where("doc_id = 3").crossJoin(spark.range(20_000)).drop("id"))
+    assert q.fit(often.repartition(3), labels) == q.fit(docs, labels)
+    lines = list(range(100_000))
+    some = q.sampled_lines(lines)
+    assert len(some) == q.SAMPLED_SEGMENTS * q.SEGMENT_LINES and some[0] == 0 and some[-1] == lines[-1]
+    assert q.sampled_lines(lines[:500]) == lines[:500]
+
+
 def test_nothing_to_learn_from(spark):
     df = documents(spark, ["a b"])
     for labels in ([], [(0, 1)]):

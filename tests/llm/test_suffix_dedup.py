@@ -122,3 +122,24 @@ def test_clean_keeps_columns_nulls_and_valid_text(spark):
             data = data[:s.start] + data[s.end:]
         assert found[i] == (None if data is None else data.decode("utf-8", "ignore"))
     assert found[2].startswith("front") and found[2].endswith("back") and len(found[2]) < 20
+
+
+def test_clashing_names_and_no_leftovers(spark):
+    rng = seeded(9)
+    passage = "".join(rng.choice("abc ") for _ in range(300))
+    df = documents(spark, ["one" + passage, "two" + passage, None])
+    for name in ("_null", "_k1", "_k2", "_kept", "_text", "__Text"):
+        df = df.withColumn(name, df["key"])
+    tables = spark.catalog.listTables()
+    out = sd.clean(df)
+    assert out.columns == df.columns
+    assert [(r.text, r._kept) for r in out.orderBy("doc_id").collect()] == [("one", "extra"), ("two", "extra"), (None, "extra")]
+    assert spark.catalog.listTables() == tables
+
+
+def test_a_failure_leaves_no_tables(spark, monkeypatch):
+    tables = spark.catalog.listTables()
+    monkeypatch.setattr(sd, "_edges", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        sd.clean(documents(spark, ["x" * 300, "y" + "x" * 300]))
+    assert spark.catalog.listTables() == tables
