@@ -24,8 +24,8 @@ but for 10^-7, while texts that share a line or a fifth of their shingles meet i
 is dropped if the fingerprints are further apart than similar texts ever are, and what is left
 is decided on all shingles.
 
-Members of a band are compared with its first one, and pairs that are connected by then need no
-more. Of what is still apart, small bands are compared pair by pair. Texts in larger bands are
+A text is compared with the first text of one of its bands, then, in bands whose texts are not
+connected by that, with the first of each. Of what is still apart, small bands are compared pair by pair. Texts in larger bands are
 joined by their rarest shingles instead: of two texts similar to s, one of n shingles has one
 in common with the other among its n - ceil(s n) + 1 rarest, so this way is exact, and texts
 that share a form but not its filling have no rare shingle in common. No candidate is dropped
@@ -264,12 +264,29 @@ def _pairs_within(keys: DataFrame) -> DataFrame:
     return side("u").join(side("v"), "key").where("u.node < v.node AND of_u <> of_v").select("u", "v")
 
 
+def _shared_bands(classes: DataFrame) -> DataFrame:
+    """(key, of) of the bands that more than one text has.
+
+    Most bands have one text only, so they are counted and dropped as two numbers each.
+    """
+    narrow = classes.where("n > 0").select(F.explode("bands").alias("key"), "node")
+    often = narrow.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    shared = materialize(narrow.join(often, "key", "left_semi"), "shared")
+    of = classes.select(F.struct("node", "n", "fp").alias("of"))
+    return materialize(shared.join(of, shared["node"] == of["of.node"]).select("key", "of"), "bands")
+
+
 def _with_first(keys: DataFrame) -> DataFrame:
     """Pairs of each text with the first one of a key."""
     firsts = keys.groupBy("key").agg(F.min("of").alias("u"), F.count("*").alias("members")).where("members > 1")
     return keys.withColumnRenamed("of", "v").join(firsts, "key").where("u.node <> v.node").select("u", "v")
 
 
+def _with_one(keys: DataFrame) -> DataFrame:
+    """Pairs of each text with one other: the smallest of the first ones of its keys."""
+    return _with_first(keys).groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+
+
 def _rare_keys(texts: DataFrame, classes: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
     """(key, of): the rarest shingles of each text, of which similar texts share one.
 
@@ -299,14 +316,18 @@ def similar_links(
         decided.append(_possible(met, similarity))
         return _alike(decided[-1], rows, shingle_words, similarity)
 
-    keys = classes.where("n > 0").select(F.explode("bands").alias("key"), F.struct("node", "n", "fp").alias("of"))
-    links = decide(_with_first(keys))
+    keys = _shared_bands(classes)
+    links = decide(_with_one(keys))
     apart = _labelled(keys, links)
+    links = links.union(decide(_with_first(apart.select("key", "of"))))
+    apart = _labelled(apart.select("key", "of"), links)
     links = links.union(decide(_pairs_within(apart.where(F.col("members") <= small_band))))
     large = apart.where(F.col("members") > small_band).select("of").distinct()
     if not large.isEmpty():
         texts = rows.join(large, rows["id"] == large["of.node"], "left_semi")
         rare = _rare_keys(texts, classes, shingle_words, similarity)
+        links = links.union(decide(_with_one(rare)))
+        rare = _labelled(rare, links).select("key", "of")
         links = links.union(decide(_with_first(rare)))
         links = links.union(decide(_pairs_within(_labelled(rare, links))))
     return links, decided
