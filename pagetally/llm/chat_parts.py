@@ -2,7 +2,9 @@
 
 A message is a list of parts. A visitor flattens them in order: text is escaped and kept,
 an image, an audio clip or a document becomes a numbered placeholder, and its reference
-and the number of tokens it will expand to are recorded. The template puts marks around each
+and the number of tokens it will expand to are recorded. Numbers run through a conversation,
+however its turns are dealt out: attachments are counted in each range of turns, and each range
+starts at the sum of those before it. The template puts marks around each
 turn; assistant texts are recorded as spans of a loss mask.
 
 Control strings all begin with ``<|``. In texts and roles every ``<`` that is followed by
@@ -14,7 +16,7 @@ formatted by many tasks, each making segments of bounded size. Reading back stre
 segments of a conversation in order and holds one at a time.
 
 Defined results: a null text or role is empty; turns that are null come first; rows of the
-same turn are ordered by role and then content; rows with a null conversation id are one
+same turn are ordered by role and then content; a null part is an empty text; rows with a null conversation id are one
 conversation; a conversation is never empty, so an empty table gives no rows.
 """
 
@@ -28,7 +30,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetally.llm.common import partitions_of, record_batch
@@ -37,6 +39,7 @@ from pagetally.sources.tables import materialize
 START, END = "<|im_start|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
 SEGMENT_CHARS = 1 << 20
+ATTACHED = ("image", "audio", "document")
 PARTS = ("array<struct<type:string,text:string,ref:string,width:int,height:int,"
          "seconds:double,pages:int>>")
 
@@ -73,12 +76,14 @@ class Costs:
 
 @dataclass
 class Flattener:
-    """Visits the parts of one message after the other; numbers run through a conversation segment."""
+    """Visits the parts of one message after the other; ``next`` is the number of the next attachment."""
 
     costs: Costs = field(default_factory=Costs)
     attachments: list[dict] = field(default_factory=list)
+    next: int = 0
 
-    def visit(self, part: dict) -> str:
+    def visit(self, part: dict | None) -> str:
+        part = part or {}
         kind = part.get("type") or "text"
         handler = getattr(self, f"visit_{kind}", None)
         if handler is None:
@@ -101,7 +106,7 @@ class Flattener:
         return self._attach("document", part, (part.get("pages") or 0) * self.costs.document_per_page)
 
     def _attach(self, kind: str, part: dict, tokens: int) -> str:
-        number = len(self.attachments)
+        number, self.next = self.next, self.next + 1
         self.attachments.append({"number": number, "kind": kind, "ref": part.get("ref"), "tokens": tokens})
         return f"<|{kind}_{number}|>"
 
@@ -115,6 +120,24 @@ def text_part(text: Column) -> Column:
         null("int").alias("pages")))
 
 
+def _first_numbers(turns: DataFrame) -> DataFrame:
+    """(at, first): the number of the first attachment of each turn that has one.
+
+    ``turns`` is a written table whose ``at`` ascends in ranges of (conversation, turn). Windows
+    hold the turns of one conversation in one range, or one row per range.
+    """
+    n = F.size(F.filter("parts", lambda p: p["type"].isin(*ATTACHED))).cast("long")
+    held = turns.select("at", "conv", F.shiftright("at", 33).alias("part"), n.alias("n")).where("n > 0")
+    before = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(
+        Window.unboundedPreceding, -1)
+    sizes = held.groupBy("conv", "part").agg(F.sum("n").alias("n")).select(
+        F.col("conv").alias("whose"), F.col("part").alias("range"),
+        F.coalesce(F.sum("n").over(before(["conv"], "part")), F.lit(0)).alias("shift"))
+    inside = held.withColumn("inside", F.coalesce(F.sum("n").over(before(["conv", "part"], "at")), F.lit(0)))
+    same = (inside["part"] == sizes["range"]) & inside["conv"].eqNullSafe(sizes["whose"])
+    return materialize(inside.join(sizes, same).select("at", (F.col("inside") + F.col("shift")).alias("first")), "numbers")
+
+
 def format_turns(
     messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
     parts_col: str = "parts", costs: Costs | None = None,
@@ -122,7 +145,8 @@ def format_turns(
     """Segments of formatted conversations.
 
     (conv, at, formatted, loss, attachments): segments of a conversation follow one
-    another by ``at``; ``loss`` are spans of code points in ``formatted``.
+    another by ``at``; ``loss`` are spans of code points in ``formatted``. The ranges of turns
+    are written once, so that what they are numbered by stays the same when a task runs again.
     """
     costs = costs or Costs()
     rows = messages.select(
@@ -130,7 +154,11 @@ def format_turns(
         F.coalesce(messages[role_col].cast("string"), F.lit("")).alias("role"),
         F.coalesce(messages[parts_col], F.array()).cast(PARTS).alias("parts"))
     order = [F.col(c).asc_nulls_first() for c in ("conv", "turn", "role", "parts")]
-    dealt = rows.repartitionByRange(partitions_of(messages.sparkSession), *order).sortWithinPartitions(*order)
+    parts = partitions_of(messages.sparkSession)
+    turns = materialize(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+                        .withColumn("at", F.monotonically_increasing_id()), "turns")
+    numbered = turns.join(_first_numbers(turns), "at", "left")
+    dealt = numbered.repartitionByRange(parts, "at").sortWithinPartitions("at")
     kind = rows.schema["conv"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,12 +179,13 @@ def format_turns(
 
         for batch in batches:
             conv_type = batch.schema.field("conv").type
-            for own, role, parts in zip(*(batch.column(c) for c in ("conv", "role", "parts")), strict=True):
+            for own, role, parts, first in zip(
+                    *(batch.column(c) for c in ("conv", "role", "parts", "first")), strict=True):
                 own = own.as_py()
                 if pieces and (own != conv or size > SEGMENT_CHARS):
                     yield flush(conv_type)
                 conv = own
-                head = f"{START}{escape_role(role.as_py())}\n"
+                head, flat.next = f"{START}{escape_role(role.as_py())}\n", first.as_py() or 0
                 body = "".join(flat.visit(p) for p in parts.as_py())
                 if role.as_py() == LOSS_ROLE:
                     spans.append({"start": size + len(head), "end": size + len(head) + len(body)})

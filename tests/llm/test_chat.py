@@ -83,6 +83,36 @@ def test_parts_become_placeholders_with_references_and_costs(spark):
     assert (back[1].n_attachments, back[1].attachment_tokens, back[1].n_turns) == (4, 24 + 63 + 3072 + 112, 2)
 
 
+@pytest.mark.parametrize("segment", [cp.SEGMENT_CHARS, 60])
+def test_numbers_run_through_a_conversation(spark, monkeypatch, segment):
+    """The same output however the turns are dealt out, with a null conversation and null parts."""
+    monkeypatch.setattr(cp, "SEGMENT_CHARS", segment)
+    part = lambda kind, ref=None: (kind, None, ref, None, None, None, 1)
+    rows, want = [], {}
+    for conv, turns in ((1, 150), (2, 3), (None, 40)):
+        refs = []
+        for turn in range(turns):
+            own = [part(cp.ATTACHED[(turn + i) % 3], f"{conv}/{turn}/{i}") for i in range(turn % 4)]
+            refs += [(p[0], p[2]) for p in own]
+            rows.append((conv, turn, "user", [part("text"), None, *own]))
+        want[conv] = [(i, kind, ref) for i, (kind, ref) in enumerate(refs)]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {cp.PARTS}")
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (1, 4, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found, text = {}, {}
+            for r in sorted(cp.format_turns(df.repartition(5)).collect(), key=lambda r: r.at):
+                found.setdefault(r.conv, []).extend((a.number, a.kind, a.ref) for a in r.attachments)
+                text[r.conv] = text.get(r.conv, "") + r.formatted
+            assert found == want
+            assert all(text[c].count(f"<|{kind}_{i}|>") == 1 for c in want for i, kind, _ in want[c])
+            seen.append(text)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] == seen[2]
+
+
 def test_unknown_parts_are_refused():
     with pytest.raises(ValueError, match="video"):
         cp.Flattener().visit({"type": "video"})
