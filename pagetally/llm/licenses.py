@@ -3,8 +3,10 @@
 A text is cut into sentences, sentences are brought into a normal form (lower case, words
 only), and those that are known become identifiers. A licence is found where the identifiers
 of one of its rules follow one another in the text, with at most ``MAX_GAP`` unknown
-sentences between two of them. Known sentences that belong to no rule found are reported
-as well, so that parts of a licence text do not go unnoticed.
+sentences between two of them. The rule of most sentences takes its identifiers first, of rules
+as long the one listed first, and no other rule can use or reach over them, so a text that goes on to
+a third clause is not the two-clause licence as well. Known sentences that belong to no rule found are
+reported too, so that parts of a licence text do not go unnoticed.
 
 A known sentence may be wrapped: a single line break, with comment marks around it, is white
 space, while a blank line ends a sentence. It has to begin and end where a line or a sentence
@@ -12,7 +14,10 @@ does. Some standard texts have an end (colon, semicolon, blank line) inside what
 one sentence; ``ENDS_INSIDE`` says where. ``n_sentences`` counts lines as sentences.
 Unknown lines that no end divides are one sentence for ``MAX_GAP``.
 
-The knowledge is a fixed list of sentences and rules; other lists can be given.
+The knowledge is a fixed list of sentences and rules, and ones made from them: a tag line for each
+licence that has an SPDX identifier, and statements that a project is under a licence. Other
+lists can be given. The title of a full text of a GNU licence, without a notice that allows later
+versions, stands for that version only.
 
 Defined results: a null or empty text holds nothing; every row is scanned for itself, repeated
 ids too; a licence that is found several times is reported once; an empty table gives no rows.
@@ -21,7 +26,7 @@ ids too; a licence that is found several times is reported once; an empty table
 from __future__ import annotations
 
 import re
-from itertools import chain
+from itertools import chain, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +35,7 @@ from pagetally.llm.common import slim
 
 MAX_GAP = 2
 UNKNOWN = "-"
+FOUND = "!"
 
 # Sentences of public licence texts and notices in normal form.
 SENTENCES = {
@@ -79,6 +85,49 @@ SENTENCES = {
         "hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     "unlicense-released": "this is free and unencumbered software released into the public domain",
     "reserved": "all rights reserved",
+    "gpl2-redistribute": (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu "
+        "general public license as published by the free software foundation either version 2 of the license "
+        "or at your option any later version"),
+    "gpl2-only": (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu "
+        "general public license version 2 as published by the free software foundation"),
+    "lgpl21-redistribute": (
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu "
+        "lesser general public license as published by the free software foundation either version 2 1 of the "
+        "license or at your option any later version"),
+    "lgpl3-redistribute": (
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu "
+        "lesser general public license as published by the free software foundation either version 3 of the "
+        "license or at your option any later version"),
+    "agpl3-redistribute": (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu "
+        "affero general public license as published by the free software foundation either version 3 of the "
+        "license or at your option any later version"),
+    "library-hope": (
+        "this library is distributed in the hope that it will be useful but without any warranty without even "
+        "the implied warranty of merchantability or fitness for a particular purpose"),
+    "mpl2-subject": (
+        "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-liable": (
+        "in no event will the authors be held liable for any damages arising from the use of this software"),
+    "zlib-grant": (
+        "permission is granted to anyone to use this software for any purpose including commercial applications "
+        "and to alter it and redistribute it freely subject to the following restrictions"),
+    "cc0-waived": (
+        "to the extent possible under law the person who associated cc0 with this work has waived all copyright "
+        "and related or neighboring rights to this work"),
+    "title-apache": "apache license version 2 0 january 2004",
+    "title-apache-url": "apache license version 2 0 january 2004 http www apache org licenses",
+    "title-gpl2": "gnu general public license version 2 june 1991",
+    "title-gpl3": "gnu general public license version 3 29 june 2007",
+    "title-lgpl21": "gnu lesser general public license version 2 1 february 1999",
+    "title-lgpl3": "gnu lesser general public license version 3 29 june 2007",
+    "title-agpl3": "gnu affero general public license version 3 19 november 2007",
+    "title-mpl2": "mozilla public license version 2 0",
+    "title-cc0": "cc0 1 0 universal",
+    "title-boost": "boost software license version 1 0 august 17th 2003",
 }
 
 # Licences and the sentences that make them, in order.
@@ -98,14 +147,84 @@ RULES = (
     ("ISC", ("isc-grant",)),
     ("Unlicense", ("unlicense-released",)),
     ("LicenseRef-reserved", ("reserved",)),
+    ("GPL-2.0-or-later", ("gpl2-redistribute", "gpl-hope")),
+    ("GPL-2.0-only", ("gpl2-only", "gpl-hope")),
+    ("LGPL-2.1-or-later", ("lgpl21-redistribute", "library-hope")),
+    ("LGPL-3.0-or-later", ("lgpl3-redistribute", "library-hope")),
+    ("AGPL-3.0-or-later", ("agpl3-redistribute", "gpl-hope")),
+    ("MPL-2.0", ("mpl2-subject",)),
+    ("Zlib", ("zlib-as-is", "zlib-liable", "zlib-grant")),
+    ("CC0-1.0", ("cc0-waived",)),
+    ("Apache-2.0", ("title-apache",)),
+    ("Apache-2.0", ("title-apache-url",)),
+    ("GPL-2.0-only", ("title-gpl2",)),
+    ("GPL-3.0-only", ("title-gpl3",)),
+    ("LGPL-2.1-only", ("title-lgpl21",)),
+    ("LGPL-3.0-only", ("title-lgpl3",)),
+    ("AGPL-3.0-only", ("title-agpl3",)),
+    ("MPL-2.0", ("title-mpl2",)),
+    ("CC0-1.0", ("title-cc0",)),
+    ("BSL-1.0", ("title-boost",)),
 )
 
-# The words before an end inside a known sentence.
-ENDS_INSIDE = {
+# The words before an end inside a known sentence, or before each of several.
+ENDS_INSIDE: dict[str, str | tuple[str, ...]] = {
     "apache-copy": "you may obtain a copy of the license at",
     "gpl-redistribute": "this program is free software",
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty",
+    "gpl2-redistribute": (
+        "this program is free software",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu "
+        "general public license as published by the free software foundation"),
+    "gpl2-only": "this program is free software",
+    "agpl3-redistribute": "this program is free software",
+    "lgpl21-redistribute": (
+        "this library is free software",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu "
+        "lesser general public license as published by the free software foundation"),
+    "lgpl3-redistribute": "this library is free software",
+    "library-hope": "this library is distributed in the hope that it will be useful but without any warranty",
+    "mpl2-subject": "this source code form is subject to the terms of the mozilla public license v",
+}
+
+# How statements name a licence, and what they say of whom.
+SPOKEN = {
+    "MIT": "the mit license",
+    "Apache-2.0": "the apache license version 2 0",
+    "GPL-2.0-only": "the gnu general public license version 2",
+    "GPL-3.0-only": "the gnu general public license version 3",
+    "BSD-2-Clause": "the bsd 2 clause license",
+    "BSD-3-Clause": "the bsd 3 clause license",
+    "MPL-2.0": "the mozilla public license version 2 0",
 }
+SUBJECTS = ("it", "this code", "this library", "this package", "this program", "this project", "this software", "this work")
+VERBS = ("is licensed under", "is released under", "is distributed under")
+TAG = "spdx license identifier"
+
+
+def _made() -> None:
+    """Add tag lines and statements for the licences of ``RULES``."""
+    global RULES
+    added = []
+
+    def add(name: str, license_: str, sentence: str, end: str = "") -> None:
+        if sentence in SENTENCES.values():
+            return
+        SENTENCES[name] = sentence
+        added.append((license_, (name,)))
+        if end:
+            ENDS_INSIDE[name] = end
+
+    for license_ in sorted({name for name, _ in RULES if not name.startswith("LicenseRef-")}):
+        spelled = re.sub(r"[^a-z0-9]+", " ", license_.lower())
+        add(f"tag-{spelled.replace(' ', '-')}", license_, f"{TAG} {spelled}", TAG)
+    for license_, name in SPOKEN.items():
+        for i, (subject, verb) in enumerate(product(SUBJECTS, VERBS)):
+            add(f"says-{i}-{re.sub('[^a-z0-9]+', '-', license_.lower())}", license_, f"{subject} {verb} {name}")
+    RULES += tuple(added)
+
+
+_made()
 
 END_MARK = r"[.!?;:]+(?:\s+|$)"
 SENTENCE_END = END_MARK + r"|\n+"
@@ -113,23 +232,45 @@ NOT_A_WORD = r"[^\p{L}\p{N}\n]+"
 
 
 def rule_pattern(ids: tuple[str, ...], max_gap: int = MAX_GAP) -> str:
-    """A pattern over identifiers that are each followed by a space."""
-    gap = rf"(?:{re.escape(UNKNOWN)} ){{0,{max_gap}}}"
+    """A pattern over identifiers that each have a space before and after them."""
+    gap = rf"(?: {re.escape(UNKNOWN)} ){{0,{max_gap}}}"
     # Identifiers hold letters, digits and hyphens only.
-    return "(?:^| )" + gap.join(f"{i} " for i in ids)
+    return gap.join(f" {i} " for i in ids)
+
+
+def in_order(rules: tuple[tuple[str, tuple[str, ...]], ...]) -> list[tuple[str, tuple[str, ...]]]:
+    """The rules as they take identifiers: those of most sentences first, else as listed."""
+    return sorted(rules, key=lambda r: -len(r[1]))
+
+
+def claims(
+    rules: tuple[tuple[str, tuple[str, ...]], ...], max_gap: int = MAX_GAP,
+) -> list[tuple[str, str]]:
+    """(pattern, licence) in the order in which they are to be replaced by ``FOUND`` and the licence."""
+    out, single = [], {}
+    for name, ids in in_order(rules):
+        if len(ids) > 1:
+            out.append((rule_pattern(ids, max_gap), name))
+        else:
+            single.setdefault(name, []).append(ids[0])
+    return out + [(f" (?:{'|'.join(ids)}) ", name) for name, ids in single.items()]
+
+
+def _literal(name: str) -> str:
+    """A licence's name as the replacement of a pattern; it must not hold a space."""
+    return re.sub(r"([\\$])", r"\\\1", name)
 
 
-def sentence_pattern(known: dict[str, str], ends_inside: dict[str, str]) -> str:
+def sentence_pattern(known: dict[str, str], ends_inside: dict[str, str | tuple[str, ...]]) -> str:
     """A pattern for known sentences in text made by ``_marked``, longer ones first."""
     within = r"(?: ?\n ?| )"
     forms = []
     for name, sentence in sorted(known.items(), key=lambda k: (-len(k[1]), k)):
+        heads = ends_inside.get(name, ())
+        ends = {len(h.split()) for h in ([heads] if isinstance(heads, str) else heads)}
         words = [re.escape(w) for w in sentence.split()]
-        form = within.join(words)
-        head = ends_inside.get(name, "").split()
-        if head:
-            form = within.join(words[:len(head)]) + r"[ \n]+" + within.join(words[len(head):])
-        forms.append(form)
+        forms.append(words[0] + "".join(
+            (r"[ \n]+" if i in ends else within) + w for i, w in enumerate(words[1:], 1)))
     return rf"(?m)^ ?({'|'.join(forms)}) ?$" if forms else "(?!)"
 
 
@@ -146,7 +287,7 @@ def _filled(text: Column, end: str) -> Column:
 def scan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known: dict[str, str] | None = None, rules: tuple[tuple[str, tuple[str, ...]], ...] = RULES,
-    max_gap: int = MAX_GAP, ends_inside: dict[str, str] | None = None,
+    max_gap: int = MAX_GAP, ends_inside: dict[str, str | tuple[str, ...]] | None = None,
 ) -> DataFrame:
     """(id, licenses, sentence_ids, n_sentences) per row of ``docs``, the lists sorted or in text order."""
     known = SENTENCES if known is None else known
@@ -166,9 +307,13 @@ def scan(
                        F.coalesce(ids, F.array().cast("array<string>")).alias("ids"))
     own = F.filter("ids", lambda i: i != UNKNOWN)
     rows = rows.select("id", "n_sentences", own.alias("sentence_ids"),
-                       F.when(F.size(own) > 0, F.concat(F.array_join("ids", " "), F.lit(" "))).alias("line"))
-    hits = [F.when(F.col("line").rlike(rule_pattern(ids, max_gap)), F.lit(name)) for name, ids in rules]
+                       F.when(F.size(own) > 0, F.concat(F.lit(" "), F.array_join("ids", "  "), F.lit(" "))).alias("line"))
+    line = F.col("line")
+    for pattern, name in claims(rules, max_gap):
+        line = F.regexp_replace(line, F.lit(pattern), F.lit(f" {FOUND}{_literal(name)} "))
+    marks = F.filter(F.split(line, " "), lambda w: w.startswith(FOUND))
+    hits = F.transform(marks, lambda w: F.substring(w, len(FOUND) + 1, 1 << 20))
     return rows.select(
         F.col("id").alias(id_col),
-        F.array_sort(F.array_distinct(F.array_compact(F.array(*hits)))).alias("licenses"),
+        F.coalesce(F.array_sort(F.array_distinct(hits)), F.array().cast("array<string>")).alias("licenses"),
         "sentence_ids", "n_sentences")

@@ -142,7 +142,9 @@ _WORDS = (
 )
 
 _KNOWN = ", ".join(f"('{i}', '{s}')" for i, s in licenses.SENTENCES.items())
-_RULES = ", ".join(f"('{name}', '{licenses.rule_pattern(ids)}')" for name, ids in licenses.RULES)
+_CLAIMED = "line"
+for _pattern, _name in licenses.claims(licenses.RULES):
+    _CLAIMED = f"regexp_replace({_CLAIMED}, '{_pattern}', ' {licenses.FOUND}{_name} ', 'g')"
 
 # Five bits of the digest at a time, each from two of its 40 hexadecimal digits.
 _BASE32 = """array_to_string(list_transform(range(32), lambda i: substr(
@@ -216,7 +218,6 @@ ORACLE_SQL: dict[str, str] = {
         FROM e GROUP BY conv_id""",
     "op10_licenses": rf"""
         WITH known(name, sentence) AS (VALUES {_KNOWN}),
-        rules(license, pattern) AS (VALUES {_RULES}),
         split AS (
             SELECT row_number() OVER () AS r, doc_id, list_filter(list_transform(string_split(
                 regexp_replace(regexp_replace(lower(coalesce(text, '')), '{licenses.SENTENCE_END}', chr(10), 'g'),
@@ -225,13 +226,14 @@ ORACLE_SQL: dict[str, str] = {
         ),
         cut AS (SELECT r, unnest(found) AS sentence, unnest(range(len(found))) AS place FROM split),
         lines AS (
-            SELECT r, string_agg(coalesce(name, '-'), ' ' ORDER BY place) || ' ' AS line,
+            SELECT r, ' ' || string_agg(coalesce(name, '-'), '  ' ORDER BY place) || ' ' AS line,
                    coalesce(string_agg(name, ',' ORDER BY place), '') AS sentence_ids
             FROM cut LEFT JOIN known USING (sentence) GROUP BY r
         ),
         hits AS (
-            SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses
-            FROM lines, rules WHERE sentence_ids <> '' AND regexp_matches(line, pattern) GROUP BY r
+            SELECT r, array_to_string(list_sort(list_distinct(list_transform(
+                regexp_extract_all({_CLAIMED}, '{licenses.FOUND}[^ ]+'), lambda m: m[2:]))), ',') AS licenses
+            FROM lines WHERE sentence_ids <> ''
         )
         SELECT doc_id, coalesce(licenses, '') AS licenses, coalesce(sentence_ids, '') AS sentence_ids,
                len(found)::BIGINT AS n_sentences
