@@ -8,10 +8,11 @@ A document is kept if it passes the counted rules and content lines hold at leas
 The field is fitted by maximum likelihood on a bounded sample of labelled documents:
 ``per_class`` ids of each quality, those with the smallest hashes, one row of each id (the one whose
 lines' features have the smallest hash) and ``SAMPLED_SEGMENTS`` segments of ``SEGMENT_LINES`` lines
-of each row, spread evenly over all of its lines. All lines of a good document count as content and
-all of a bad one as boilerplate. At most four bytes for each of these lines reach the driver,
-however often an id is repeated or however long a text is. Without both qualities in the labels the fixed
-``PRIOR`` weights are used.
+of each row, spread evenly over all of its lines. Which of these lines are content is latent: the
+quality of their document only makes it likelier or less (``CONTENT_ODDS``), and
+expectation-maximisation settles it, so a bad document may hold content and a good one boilerplate.
+At most four bytes for each of these lines reach the driver, however often an id is repeated or
+however long a text is. Without both qualities in the labels the fixed ``PRIOR`` weights are used.
 
 Defined results: a null or empty text has no words and fails the counted rules; repeated
 ids are judged row by row; an empty table gives no rows; a tie in decoding goes to content.
@@ -47,6 +48,9 @@ MIN_CONTENT = 0.5
 PER_CLASS = 1000
 SEGMENT_LINES = 64
 SAMPLED_SEGMENTS = 8
+# Log-odds that a line is content in a bad and in a good document, before its features are known.
+CONTENT_ODDS = (-0.25, 2.0)
+ROUNDS = 4
 
 FEATURES = (
     "always", "shouted", "some symbols", "many symbols", "digits", "exclaims",
@@ -185,9 +189,41 @@ class Decoder:
         return found[::-1]
 
 
-def train(sequences: list[tuple[list[int], int]], rounds: int = 80, rate: float = 0.2, l2: float = 0.01) -> Field:
-    """Fit the field to (feature bits of each line, label of all lines) by gradient ascent.
+def _marginals(
+    emit: np.ndarray, transitions: np.ndarray, inside: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Forward-backward over all sequences at once.
 
+    ``emit`` and ``inside`` are (line, sequence). Gives the probability of content of each line
+    and that of each pair of labels of neighbours, (label, next label, line, sequence); zero outside.
+    """
+    top = np.maximum(emit, 0)
+    seen = np.stack([np.exp(-top), np.exp(emit - top)])
+    move = np.exp(transitions - transitions.max())
+    ahead, behind = np.empty_like(seen), np.empty_like(seen)
+    ahead[:, 0] = seen[:, 0] / seen[:, 0].sum(0)
+    for i in range(1, len(emit)):
+        moved = (move.T @ ahead[:, i - 1]) * seen[:, i]
+        ahead[:, i] = moved / moved.sum(0)
+    behind[:, -1] = 0.5
+    for i in range(len(emit) - 2, -1, -1):
+        moved = move @ (seen[:, i + 1] * behind[:, i + 1])
+        behind[:, i] = np.where(inside[i + 1], moved / moved.sum(0), 0.5)
+    both = ahead * behind
+    pairs = ahead[:, None, :-1] * move[:, :, None, None] * (seen * behind)[None, :, 1:]
+    pairs *= inside[1:] / pairs.sum((0, 1))
+    return both[1] / both.sum(0) * inside, pairs
+
+
+def train(
+    sequences: list[tuple[list[int], int]], rounds: int = ROUNDS, steps: int = 60,
+    rate: float = 0.2, l2: float = 0.001,
+) -> Field:
+    """Fit the field to (feature bits of each line, quality of the document).
+
+    The labels of lines are latent. The first field takes each line for itself, labelled as its document;
+    each of ``rounds`` rounds then expects labels from the field and ``CONTENT_ODDS`` of the
+    document's quality by forward-backward, and fits the field to them by gradient ascent.
     Long documents are cut into segments of ``SEGMENT_LINES`` lines for fitting only.
     """
     pieces = [(bits[i:i + SEGMENT_LINES], label) for bits, label in sequences
@@ -195,43 +231,37 @@ def train(sequences: list[tuple[list[int], int]], rounds: int = 80, rate: float
     if len({label for _, label in pieces}) < 2:
         return Field()
     longest = max(len(bits) for bits, _ in pieces)
-    packed = np.zeros((len(pieces), longest), np.int64)
-    inside = np.zeros((len(pieces), longest), bool)
+    packed = np.zeros((longest, len(pieces)), np.int64)
+    inside = np.zeros((longest, len(pieces)), bool)
     for row, (bits, _) in enumerate(pieces):
-        packed[row, :len(bits)] = bits
-        inside[row, :len(bits)] = True
-    x = (packed[..., None] >> np.arange(len(FEATURES)) & 1).astype(np.float64)
+        packed[:len(bits), row] = bits
+        inside[:len(bits), row] = True
+    patterns, place = np.unique(packed, return_inverse=True)
+    place = place.reshape(packed.shape)
+    table = (patterns[:, None] >> np.arange(len(FEATURES)) & 1).astype(np.float64)
     y = np.array([label for _, label in pieces])
-    # Each label has the same say, whatever its number of lines.
-    lines_of = [inside[y == k].sum() for k in (0, 1)]
+    # Each quality has the same say, whatever its number of lines.
+    lines_of = [inside[:, y == k].sum() for k in (0, 1)]
     weight = np.where(y == 1, 0.5 / lines_of[1], 0.5 / lines_of[0])
+    known = np.where(y == 1, *CONTENT_ODDS[::-1])
     w, t = np.zeros(len(FEATURES)), np.zeros((2, 2))
-    moments = [np.zeros(w.size + 4), np.zeros(w.size + 4)]
-    logsum = lambda a, axis: np.logaddexp.reduce(a, axis=axis)
-    for step in range(1, rounds + 1):
-        emit = np.stack([np.zeros(x.shape[:2]), x @ w], -1)
-        ahead, behind = np.zeros_like(emit), np.zeros_like(emit)
-        ahead[:, 0] = emit[:, 0]
-        for i in range(1, longest):
-            moved = logsum(ahead[:, i - 1, :, None] + t, 1) + emit[:, i]
-            ahead[:, i] = np.where(inside[:, i, None], moved, ahead[:, i - 1])
-        for i in range(longest - 2, -1, -1):
-            moved = logsum(t + (emit[:, i + 1] + behind[:, i + 1])[:, None, :], 2)
-            behind[:, i] = np.where(inside[:, i + 1, None], moved, 0.0)
-        total = logsum(ahead[:, -1], 1)
-        content = np.exp(ahead[..., 1] + behind[..., 1] - total[:, None]) * inside
-        grad_w = np.einsum("n,nl,nlf->f", weight, y[:, None] * inside - content, x)
-        grad_t = np.zeros((2, 2))
-        both = inside[:, 1:] * weight[:, None]
-        for a in (0, 1):
-            for b in (0, 1):
-                p = np.exp(ahead[:, :-1, a] + t[a, b] + emit[:, 1:, b] + behind[:, 1:, b] - total[:, None])
-                grad_t[a, b] = (both * ((y == a) & (y == b))[:, None] - both * np.where(both > 0, p, 0)).sum()
-        grad = np.concatenate([grad_w - l2 * w, (grad_t - l2 * t).ravel()])
-        moments[0] = 0.9 * moments[0] + 0.1 * grad
-        moments[1] = 0.99 * moments[1] + 0.01 * grad ** 2
-        move = rate * (moments[0] / (1 - 0.9 ** step)) / (np.sqrt(moments[1] / (1 - 0.99 ** step)) + 1e-8)
-        w, t = w + move[:w.size], t + move[w.size:].reshape(2, 2)
+    content, pairs = inside * (y == 1), None
+    for _ in range(rounds + 1):
+        if pairs is not None:
+            content, pairs = _marginals((table @ w)[place] + known, t, inside)
+        want = np.bincount(place.ravel(), (content * weight).ravel(), len(patterns))
+        want_t = np.zeros((2, 2)) if pairs is None else (pairs * weight).sum((2, 3))
+        first, second = np.zeros(w.size + 4), np.zeros(w.size + 4)
+        for step in range(1, steps + 1):
+            found, met = _marginals((table @ w)[place], t, inside)
+            have = np.bincount(place.ravel(), (found * weight).ravel(), len(patterns))
+            grad_t = np.zeros((2, 2)) if pairs is None else want_t - (met * weight).sum((2, 3)) - l2 * t
+            grad = np.concatenate([table.T @ (want - have) - l2 * w, grad_t.ravel()])
+            first = 0.9 * first + 0.1 * grad
+            second = 0.99 * second + 0.01 * grad ** 2
+            move = rate * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.99 ** step)) + 1e-8)
+            w, t = w + move[:w.size], t + move[w.size:].reshape(2, 2)
+        pairs = met
     return Field(tuple(w.tolist()), tuple(map(tuple, t.tolist())))
 
 

@@ -1,12 +1,15 @@
 """Counts against plain Python, decoding against all label sequences, fitting on made lines."""
 
 import itertools
+import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from pagetally.llm import quality_crf as q
+from tests.conftest import TESTDATA
 from tests.llm.cases import ODD_TEXTS, as_set, documents, seeded, words
 
 
@@ -83,13 +86,79 @@ def test_fitted_field_keeps_prose_and_drops_junk(spark):
     assert q.keep_good(df, field).columns == df.columns
 
 
-def test_mixed_documents_are_judged_by_their_share_of_content(spark):
+def learned(rng):
+    return q.train([(q.read_document(prose(rng).encode())[1], 1) for _ in range(30)]
+                   + [(q.read_document(junk(rng).encode())[1], 0) for _ in range(30)])
+
+
+def test_expected_labels_equal_sums_over_all_label_sequences():
+    rng = seeded(8)
+    emit = np.array([[rng.uniform(-3, 3) for _ in range(4)] for _ in range(5)])
+    moves = np.array([[rng.uniform(-1, 1) for _ in range(2)] for _ in range(2)])
+    sizes = (5, 1, 3, 2)
+    inside = np.arange(5)[:, None] < np.array(sizes)
+    content, pairs = q._marginals(emit, moves, inside)
+    for row, size in enumerate(sizes):
+        odds = {y: math.exp(sum(emit[i, row] for i in range(size) if y[i]) + sum(moves[a][b] for a, b in zip(y, y[1:])))
+                for y in itertools.product((0, 1), repeat=size)}
+        total = sum(odds.values())
+        for i in range(5):
+            want = sum(o for y, o in odds.items() if i < size and y[i]) / total
+            assert content[i, row] == pytest.approx(want)
+            for a, b in itertools.product((0, 1), repeat=2):
+                if i < 4:
+                    want = sum(o for y, o in odds.items() if i + 1 < size and y[i:i + 2] == (a, b)) / total
+                    assert pairs[a, b, i, row] == pytest.approx(want)
+
+
+def test_lines_of_mixed_documents_are_labelled_for_themselves(spark):
     rng = seeded(6)
+    field = learned(rng)
+    parts = [[(rng.choice((prose, junk)), rng.randrange(3, 9)) for _ in range(rng.randrange(1, 5))] for _ in range(40)]
+    texts = ["\n".join(line for make, n in p for line in make(rng).split("\n")[:n]) for p in parts]
+    want = ["".join(("C" if make is prose else "b") * n for make, n in p) for p in parts]
+    got = q.judge(documents(spark, texts), field).collect()
+    assert [r.line_labels for r in sorted(got, key=lambda r: r.doc_id)] == want
+    assert sum(len(set(w)) > 1 for w in want) > 15
+    for r in got:
+        sizes = [len(line.split()) for line in texts[r.doc_id].split("\n")]
+        assert r.content_words == sum(n for n, c in zip(sizes, want[r.doc_id]) if c == "C")
+        assert r.kept == (not r.base_failed and 2 * r.content_words >= r.n_words)
+    assert {r.kept for r in got if len(set(r.line_labels)) > 1 and not r.base_failed} == {True, False}
+
+
+def test_labels_of_lines_are_learned_from_mixed_documents():
+    """Content in bad documents does not make content look bad."""
+    rng = seeded(9)
+    bad = [junk(rng) + "\n" + "\n".join(prose(rng).split("\n")[:4]) for _ in range(30)]
     field = q.train([(q.read_document(prose(rng).encode())[1], 1) for _ in range(30)]
-                    + [(q.read_document(junk(rng).encode())[1], 0) for _ in range(30)])
-    mostly = prose(rng) + "\n" + prose(rng) + "\n" + junk(rng).split("\n")[0]
-    row = q.judge(documents(spark, [mostly]), field).head()
-    assert row.kept and row.content_words > 200
+                    + [(q.read_document(t.encode())[1], 0) for t in bad])
+    labels = [q.Decoder(field).labels(q.read_document(t.encode())[1]) for t in bad]
+    assert labels == [[0] * 8 + [1] * 4] * 30
+
+
+def test_joined_texts_of_the_given_tables_get_two_labels(spark):
+    docs = spark.read.parquet(f"{TESTDATA}/sf0.01/documents.parquet")
+    labels = spark.read.parquet(f"{TESTDATA}/sf0.01/labels.parquet")
+    held = docs.join(labels, "doc_id").where("doc_id % 2 = 1").select("doc_id", "text", "quality")
+    field = q.fit(docs.where("doc_id % 2 = 0"), labels)
+    verdicts = {r.doc_id: r.kept for r in q.judge(held, field).where("NOT base_failed").collect()}
+    rows = [r for r in sorted(held.collect()) if r.doc_id in verdicts]
+    assert sum(verdicts[r.doc_id] == (r.quality == 1) for r in rows) > 0.97 * len(rows)
+    good, bad = ([r.text for r in rows if r.quality == k] for k in (1, 0))
+    rng = seeded(10)
+    decoder = q.Decoder(field)
+    joined = [q.read_document(f"{rng.choice(good)}\n{rng.choice(bad)}".encode())[1] for _ in range(40)]
+    assert sum(len(set(decoder.labels(lines))) == 2 for lines in joined) > 28
+
+
+def test_a_very_long_text(spark):
+    rng = seeded(11)
+    text = "\n".join([prose(rng)] * 9000)
+    row = q.judge(documents(spark, [text, "word " * 1_000_000]), learned(rng)).orderBy("doc_id").collect()
+    assert [r.n_words for r in row] == [len(text.split()), 1_000_000]
+    assert [(r.n_dup_lines, r.base_failed) for r in row] == [(8 * 8999, True), (0, True)]
+    assert [len(r.line_labels) for r in row] == [72_000, 1]
 
 
 def test_the_sample_is_bounded_in_rows_and_lines(spark):
