@@ -7,9 +7,10 @@ the sum of its sequences' vectors, and a language's prototype the sum of its tra
 The cosine with each prototype decides, after the mean direction of all prototypes has been
 taken out of both, since most of what a text holds is common to all languages.
 
-Prototypes use every training row: tasks add up letter-sequence counts and send one
-integer vector per language, so the sums do not depend on order or partitioning. Only
-these vectors reach the driver; more than ``MAX_LANGUAGES`` labels raise.
+Prototypes use every training row: tasks add up letter-sequence counts and send one packed
+integer vector per language, which are added up in two levels, so the sums do not depend on order or
+partitioning. Only one vector per language reaches the driver and the tasks that identify, 8 KB each;
+there may be any number of labels.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is
 every text if nothing was learned; rows without a label are not learned from; equal cosines
@@ -27,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagetally.llm.common import id_type, record_batch, slim
+from pagetally.llm.common import id_type, partitions_of, record_batch, slim
 
 DIMENSIONS = 1024
 SEED = 20250101
-MAX_LANGUAGES = 1000
+# Languages whose sums a task holds at a time, and tasks that a language's sums meet in first.
+LANGUAGES_AT_ONCE = 4096
+SPREAD = 16
 UNKNOWN = "und"
 SEQUENCES_AT_ONCE = 4096
 TEXTS_AT_ONCE = 256
@@ -150,31 +153,47 @@ def learn(
     rows = docs.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].alias("text"))
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
 
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray]]:
         space = Space(dimensions, seed)
-        sums: dict[str, np.ndarray] = {}
         for batch in batches:
             texts: dict[str, list[str]] = {}
             for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
                 texts.setdefault(lang.as_py(), []).append(text.as_py())
             for lang, own in texts.items():
-                total = sums.setdefault(lang, np.zeros(dimensions, np.int64))
+                total = np.zeros(dimensions, np.int64)
                 for packed, counts in _joined(own):
                     for i in range(0, len(packed), SEQUENCES_AT_ONCE):
                         part = space.vectors(packed[i:i + SEQUENCES_AT_ONCE]).astype(np.float64)
                         total += np.rint(counts[i:i + SEQUENCES_AT_ONCE] @ part).astype(np.int64)
-        out = pa.schema([("lang", pa.string()), ("vector", pa.list_(pa.int64()))])
-        yield record_batch(out, [list(sums), list(sums.values())])
+                yield lang, total
 
-    sent = rows.mapInArrow(add_up, "lang string, vector array<long>")
-    totals = (sent.select("lang", F.posexplode("vector").alias("place", "value"))
-              .groupBy("lang", "place").agg(F.sum("value").alias("value")))
-    found = totals.limit((MAX_LANGUAGES + 1) * dimensions).collect()
+    def add_up(vectors: Iterator[tuple[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """One row per language; more than ``LANGUAGES_AT_ONCE`` are sent on in parts."""
+        sums: dict[str, np.ndarray] = {}
+        for lang, vector in vectors:
+            if lang in sums:
+                sums[lang] += vector
+            else:
+                sums[lang] = vector.copy()
+            if len(sums) == LANGUAGES_AT_ONCE:
+                yield _sums_batch(sums)
+                sums = {}
+        yield _sums_batch(sums)
+
+    def packed_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray]]:
+        for batch in batches:
+            for lang, vector in zip(batch.column("lang"), batch.column("vector"), strict=True):
+                yield lang.as_py(), np.frombuffer(vector.as_py(), np.int64)
+
+    schema = "lang string, vector binary"
+    sent = rows.mapInArrow(lambda batches: add_up(count(batches)), schema)
+    # A language's vectors meet in several tasks first, so the last sum has a few rows of each.
+    for keys in (("lang", F.pmod(F.xxhash64("vector"), F.lit(SPREAD))), ("lang",)):
+        sent = sent.repartition(partitions_of(docs.sparkSession), *keys).mapInArrow(
+            lambda batches: add_up(packed_sums(batches)), schema)
     sums: dict[str, np.ndarray] = {}
-    for r in found:
-        sums.setdefault(r.lang, np.zeros(dimensions))[r.place] = r.value
-    if len(sums) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    for r in sent.toLocalIterator():
+        sums[r.lang] = sums.get(r.lang, 0) + np.frombuffer(r.vector, np.int64)
     labels = tuple(sorted(k for k, v in sums.items() if v.any()))
     if not labels:
         return Profiles((), np.zeros(dimensions), np.zeros((0, dimensions)), dimensions, seed)
@@ -185,6 +204,11 @@ def learn(
     return Profiles(labels, mean, moved / np.where(sizes > 0, sizes, 1), dimensions, seed)
 
 
+def _sums_batch(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+    out = pa.schema([("lang", pa.string()), ("vector", pa.binary())])
+    return record_batch(out, [list(sums), [v.tobytes() for v in sums.values()]])
+
+
 def _joined(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Counts over several texts at a time; sequences never cross from one to the next."""
     held, size = [], 0

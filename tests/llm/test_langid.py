@@ -77,8 +77,22 @@ def test_nothing_learned(spark):
     assert langid.identify(documents(spark, []), empty).isEmpty()
 
 
-def test_too_many_labels_raise(spark, monkeypatch):
-    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
-    df = spark.createDataFrame([("abc", str(i)) for i in range(5)], "text string, lang string")
-    with pytest.raises(ValueError, match="languages"):
-        langid.learn(df)
+def test_many_labels(spark, monkeypatch):
+    """1,500 labels, sums sent on in parts, and one label with nearly all rows."""
+    alphabet = [chr(0x4E00 + i) for i in range(1500)]
+    own = [(c + alphabet[i - 1] + c, f"l{i:04}") for i, c in enumerate(alphabet)]
+    rows = spark.createDataFrame(own + [own[7]] * 3000, "text string, lang string").repartition(6)
+    whole = langid.learn(rows)
+    monkeypatch.setattr(langid, "LANGUAGES_AT_ONCE", 100)
+    parts = langid.learn(rows.repartition(9))
+    assert whole.labels == parts.labels == tuple(n for _, n in own)
+    assert (whole.rows == parts.rows).all()
+    got = langid.identify(documents(spark, [t for t, _ in own]), whole)
+    assert {r.doc_id: r.lang_pred for r in got.collect()} == {i: n for i, (_, n) in enumerate(own)}
+
+
+def test_a_very_long_text(spark, profiles):
+    texts = [ENGLISH[0] + " ", "а", "x"]
+    got = langid.identify(documents(spark, [t * (6_000_000 // len(t)) for t in texts]), profiles).collect()
+    first = next(r for r in got if r.doc_id == 0)
+    assert first.lang_pred == "en" and all(0 <= r.score <= 1 for r in got)
