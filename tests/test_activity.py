@@ -64,6 +64,14 @@ def test_funnel(spark, steps):
     assert collected(funnel(events_df(spark, rows), steps)) == sorted(want)
 
 
+def test_funnel_of_many_repeats_of_a_time(spark):
+    """A third of all rows at a few of one user's moments, as a default time would give."""
+    rows = [(i, START + timedelta(seconds=i % 3), 7, kind, 0.0, None)
+            for i in range(900) for kind in ("signup", "view", "purchase")]
+    assert collected(funnel(events_df(spark, rows))) == [
+        (7, START, START + timedelta(seconds=1), START + timedelta(seconds=2))]
+
+
 @pytest.mark.parametrize("step_seconds", [5, 60])
 def test_last_touch(spark, step_seconds):
     rows = random_events(step_seconds, most=25, minutes=300, step_seconds=step_seconds)
