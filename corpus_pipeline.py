@@ -38,8 +38,9 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component of texts with similar five-word shingles.
+    """Keep one document of each component of texts with close fingerprints or similar five-word shingles.
 
+    What close fingerprints lead to is checked on the shingles, too.
     Of the rows of a component the one with the smallest id stays, of several with this id the
     first row, whatever other texts have the same ids; one without an id stays only if
     none has an id. Texts without words are one component; no documents give none.
@@ -50,9 +51,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ranked = rows.select(row, "doc_id").join(groups, row)
         order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.col(row).alias("row"))
         first = ranked.groupBy("component").agg(F.min(order).alias("first"))
+        chosen = materialize(first.select(F.col("first.row").alias(row)), "chosen")
         with outside():
-            chosen = materialize(first.select(F.col("first.row").alias(row)), "chosen")
-    return rows.join(chosen, row, "left_semi").select(*docs.columns)
+            # Fewer than those that stay, so that the texts need a shuffle at larger sizes only.
+            copies = materialize(groups.select(row).join(chosen, row, "left_anti"), "copies")
+    return rows.join(copies, row, "left_anti").select(*docs.columns)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +74,8 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Drop documents that the benchmark contaminates, each row for itself."""
     rows, row = _numbered(docs)
     found = decontamination.decontaminate(rows, read_table(spark, sf_dir, "benchmark"), id_col=row)
-    bad = found.where("contaminated").select(F.col(row))
+    # Written, so that the planner knows how few they are and does not shuffle the texts.
+    bad = materialize(found.where("contaminated").select(F.col(row)), "contaminated")
     return rows.join(bad, row, "left_anti").select(*docs.columns)
 
 

@@ -16,16 +16,18 @@ and are linked like any other; a text of fewer than three words is one shingle;
 repeat an id are separate documents with the same id; a component is named by the smallest
 non-null id in it (null if there is none); an empty table gives no rows.
 
-``similar_copies`` is for a similarity instead of a distance. Two texts whose shingles agree
+``similar_copies`` is for a similarity on top of the distance. It takes the same steps first: the
+block joins, the Hamming check and the components of the fingerprints. An exact check on all
+shingles follows, of each text with the first one of its component. But two texts whose shingles agree
 to 0.8 (Jaccard) have fingerprints about ten bits apart, where blocks would have to be so
-short that nearly all pairs meet. Its candidates share a band of ``BAND_ROWS`` minimum hashes
-instead, of which a text has ``BANDS``: at 0.8 a pair is met with probability 0.997, at 0.9 always
+short that nearly all pairs meet. For the pairs beyond two bits further candidates share a band of
+``BAND_ROWS`` minimum hashes, of which a text has ``BANDS``: at 0.8 a pair is met with probability 0.997, at 0.9 always
 but for 10^-7, while texts that share a line or a fifth of their shingles meet in none. A candidate
 is dropped if the fingerprints are further apart than similar texts ever are, and what is left
 is decided on all shingles.
 
-A text is compared with the first text of one of its bands, then, in bands whose texts are not
-connected by that, with the first of each. Of what is still apart, small bands are compared pair by pair. Texts in larger bands are
+In bands whose texts the fingerprints have not connected, a text is compared with the first text of
+one of its bands, then, where this leaves some apart, with the first of each. Of what is still apart, small bands are compared pair by pair. Texts in larger bands are
 joined by their rarest shingles instead: of two texts similar to s, one of n shingles has one
 in common with the other among its n - ceil(s n) + 1 rarest, so this way is exact, and texts
 that share a form but not its filling have no rare shingle in common. No candidate is dropped
@@ -227,9 +229,15 @@ def _all_shingles(rows: DataFrame, shingle_words: int) -> DataFrame:
     return rows.mapInArrow(run, "node long, hashes array<long>")
 
 
-def _alike(pairs: DataFrame, rows: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """Those of the distinct pairs (u, v) of rows whose shingles are similar, as a written table."""
+def _alike(
+    pairs: DataFrame, rows: DataFrame, shingle_words: int, similarity: float, many: bool = False,
+) -> DataFrame:
+    """Those of the distinct pairs (u, v) of rows whose shingles are similar, as a written table.
+
+    ``many`` plans for pairs that hold too large a part of the rows to be broadcast, whatever the size.
+    """
     nodes = pairs.select("u").union(pairs.select("v")).distinct()
+    nodes = nodes.hint("merge") if many else nodes
     texts = rows.join(nodes, rows["id"] == nodes["u"], "left_semi").select("id", "text")
     sets = materialize(_all_shingles(texts, shingle_words), "shingles")
     of = lambda c: sets.select(F.col("node").alias(c), F.col("hashes").alias(f"of_{c}"))
@@ -287,6 +295,19 @@ def _with_one(keys: DataFrame) -> DataFrame:
     return _with_first(keys).groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
 
 
+def _close_copies(classes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of each text with the first one that close fingerprints lead to."""
+    prints = classes.groupBy("fp").agg(F.min(F.struct("node", "n", "fp")).alias("first"))
+    prints = materialize(prints, "prints")
+    ends = materialize(connected_components(close_pairs(prints.select("fp"))), "close")
+    named = prints.join(ends, prints["fp"] == ends["node"], "left").select(
+        prints["fp"], "first", F.coalesce("component", prints["fp"]).alias("component"))
+    heads = named.groupBy("component").agg(F.min("first").alias("u"))
+    heads = materialize(named.join(heads, "component").select(F.col("fp").alias("of_fp"), "u"), "heads")
+    of = classes.select(F.struct("node", "n", "fp").alias("v"))
+    return of.join(heads, F.col("v.fp") == F.col("of_fp")).where("u.node <> v.node").select("u", "v")
+
+
 def _rare_keys(texts: DataFrame, classes: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
     """(key, of): the rarest shingles of each text, of which similar texts share one.
 
@@ -312,12 +333,15 @@ def similar_links(
     tables of pairs that were decided on all their shingles."""
     decided: list[DataFrame] = []
 
-    def decide(met: DataFrame) -> DataFrame:
+    def decide(met: DataFrame, many: bool = False) -> DataFrame:
         decided.append(_possible(met, similarity))
-        return _alike(decided[-1], rows, shingle_words, similarity)
+        return _alike(decided[-1], rows, shingle_words, similarity, many)
 
+    close = materialize(_close_copies(classes), "close_copies")
     keys = _shared_bands(classes)
-    links = decide(_with_one(keys))
+    # What the fingerprints connect needs no band; one more text is tried for the others.
+    unmet = _labelled(keys, close.select("u.node", "v.node").toDF("u", "v")).select("key", "of")
+    links = decide(close.union(_with_one(unmet)), many=True)
     apart = _labelled(keys, links)
     links = links.union(decide(_with_first(apart.select("key", "of"))))
     apart = _labelled(apart.select("key", "of"), links)

@@ -159,3 +159,21 @@ def test_recall_of_similar_pairs(spark):
     rows, classes = classes_of(spark, texts)
     found = {tuple(r) for r in simhash.similar_links(classes, rows, 5, 0.8)[0].collect()}
     assert found <= {(i, i + 1) for i in range(0, 800, 2)} and len(found) >= 0.97 * 400
+
+
+def test_close_fingerprints_are_candidates_of_similar_copies(spark):
+    """Without any band, texts at most two bits apart are still met, and checked on their shingles."""
+    rng, names = seeded(7), [f"word{i}" for i in range(3000)]
+    base = [words(rng, 1500, names) for _ in range(5)]
+    texts = base + [t.rsplit(" ", 1)[0] + " changed" for t in base]
+    rows, classes = classes_of(spark, texts)
+    prints = {r.node: r.fp & (1 << 64) - 1 for r in classes.collect()}
+    close = {(i, 5 + i) for i in range(5) if (prints[i] ^ prints[5 + i]).bit_count() <= 2}
+    assert close
+    # A text with the fingerprint of another one, but none of its shingles.
+    stranger = classes.where("node = 0").selectExpr("99L AS node", "n", "fp", "CAST(array() AS array<long>) AS bands")
+    rows = rows.union(spark.createDataFrame([(99, words(rng, 1500, names))], rows.schema))
+    lone = classes.selectExpr("node", "n", "fp", "CAST(array() AS array<long>) AS bands").union(stranger)
+    links, decided = simhash.similar_links(lone, rows, 5, 0.8)
+    assert {tuple(r) for r in links.collect()} == close
+    assert (0, 99) in {tuple(r) for r in decided[0].collect()}
