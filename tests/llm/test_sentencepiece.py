@@ -39,6 +39,19 @@ def test_any_ids_decode_like_the_library(ids):
     assert CODEC.decode(ids) == LIBRARY.decode(ids)
 
 
+def test_new_chunks_are_merged_in_one_call(monkeypatch):
+    """Whatever stands beside a chunk, its ids are those of the chunk alone."""
+    codec, rng = sc.Codec(BLOB), seeded(11)
+    chunks = sorted({"▁" * rng.randrange(3) + "".join(rng.choice("abßé日😀\r\x00") for _ in range(rng.randrange(1, 9)))
+                     for _ in range(2000)} | {"▁", "▁▁", "x" * 200, "▁the", "the"})
+    calls, encode = [], codec.merger.encode
+    monkeypatch.setattr(codec.merger, "encode", lambda given, **how: calls.append(given) or encode(given, **how))
+    got = codec._merge(chunks)
+    assert len(calls) == 1 and isinstance(calls[0], str)
+    assert got == {c: struct.pack(f"<{len(i)}i", *i) for c, i in zip(chunks, encode(chunks, out_type=int))}
+    assert codec._merge(["\n", "a"]) == {c: struct.pack("<i", *encode(c, out_type=int)) for c in ("\n", "a")}
+
+
 def test_spans_hold_the_text_of_their_pieces():
     text = "The Straße über  all\n日本 end"
     data = text.encode()
