@@ -87,8 +87,8 @@ def tokens(
     A row per document, repeated ids too; a null or empty text has the end id only.
     """
     path = model_path or public_tokenizers.path("piece_bpe_32k.model")
-    decoded = sentencepiece_codec.decode(
-        sentencepiece_codec.encode(docs, path, keep=("text",)), path)
+    # In one pass: this stage finds the executors' memory as the stages before it have left it.
+    decoded = sentencepiece_codec.encode(docs, path, keep=("text",), decoded=True)
     return decoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "ends",
         F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))

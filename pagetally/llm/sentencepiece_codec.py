@@ -276,18 +276,22 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 def encode(
     docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
-    keep: tuple[str, ...] = (),
+    keep: tuple[str, ...] = (), decoded: bool = False,
 ) -> DataFrame:
     """(id, ids, starts, ends) per row: ids with an end id, and their original byte spans.
 
-    The columns named in ``keep`` follow.
+    The columns named in ``keep`` follow, and with ``decoded`` what ``decode`` makes of the ids:
+    the same task decodes them, so an executor runs one Python worker a core instead of two.
     """
     model = _model(docs, model_path)
+    # The text goes to Python once, kept or not.
+    source = ["text" if c == text_col else f"keep_{i}" for i, c in enumerate(keep)]
     own = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"),
-                      *[docs[c].alias(f"keep_{i}") for i, c in enumerate(keep)])
+                      *[docs[c].alias(s) for c, s in zip(keep, source, strict=True) if s != "text"])
     schema = T.StructType([
         own.schema["id"], *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("ids", "starts", "ends")],
-        *own.schema.fields[2:]])
+        *[T.StructField(f"keep_{i}", own.schema[s].dataType) for i, s in enumerate(source)],
+        *[T.StructField("decoded", T.StringType())] * decoded])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model.value)
@@ -298,7 +302,9 @@ def encode(
             def flush():
                 part = batch.slice(begin, len(found))  # noqa: B023
                 lists = [_lists(list(c)) for c in zip(*found, strict=True)]  # noqa: B023
-                return pa.RecordBatch.from_arrays([part.column("id"), *lists, *part.columns[2:]], names)
+                texts = [pa.array([codec.decode(c[0].tolist()) for c in found], pa.string())] if decoded else []  # noqa: B023
+                return pa.RecordBatch.from_arrays(
+                    [part.column("id"), *lists, *[part.column(s) for s in source], *texts], names)
 
             for _, text in utf8_rows(batch):
                 found.append(codec.encode(text))
@@ -311,7 +317,7 @@ def encode(
 
     out = own.mapInArrow(run, schema)
     return out.select(F.col("id").alias(id_col), "ids", "starts", "ends",
-                      *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)])
+                      *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], *["decoded"] * decoded)
 
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:

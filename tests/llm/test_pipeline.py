@@ -124,6 +124,14 @@ def test_no_documents(spark, tables, stage):
     assert cp.STAGES[stage][1](spark, docs, tables[0]).isEmpty()
 
 
+def test_tokens_take_one_python_worker_a_task(spark, tables):
+    docs = spark.read.parquet(f"{tables[0]}/documents.parquet")
+    found = cp.tokens(spark, docs, tables[0])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert found.where("round_trip").count() == docs.count()
+
+
 def test_run_over_the_given_tables(spark):
     folder = f"{TESTDATA}/sf0.001"
     rows = cp.run(spark, folder).collect()

@@ -124,6 +124,17 @@ def test_encode_and_decode_documents(spark):
     assert sc.encode(documents(spark, []), PATH).isEmpty()
 
 
+def test_decoding_in_the_same_pass(spark):
+    rng = seeded(8)
+    texts = ODD_TEXTS + [words(rng, 200) for _ in range(20)] + ["long " * 600_000, "after it"]
+    df = documents(spark, texts).withColumn("other", F.col("doc_id") * 2)
+    want = sc.decode(sc.encode(df, PATH, keep=("other", "text")), PATH)
+    got = sc.encode(df, PATH, keep=("other", "text"), decoded=True)
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert sc.encode(documents(spark, []), PATH, decoded=True).isEmpty()
+
+
 def test_query_digests(spark, tmp_path):
     from pagetally.llm.queries import op5_sentencepiece
     texts = ["", None, "The end.\nNew  line", "日本"]
