@@ -30,8 +30,11 @@ In bands whose texts the fingerprints have not connected, a text is compared wit
 one of its bands, then, where this leaves some apart, with the first of each. Of what is still apart, small bands are compared pair by pair. Texts in larger bands are
 joined by their rarest shingles instead: of two texts similar to s, one of n shingles has one
 in common with the other among its n - ceil(s n) + 1 rarest, so this way is exact, and texts
-that share a form but not its filling have no rare shingle in common. No candidate is dropped
-to bound a band.
+that share a form but not its filling have no rare shingle in common. Texts that share a rare
+shingle and are still not similar are told apart without their shingles: of each of ``MARKS`` times 64 bits, a
+text has the parity of its shingles' number there. Two texts differ in at least as many shingles
+as in bits, so the join itself passes over pairs of too many bits, and never over a similar one. No candidate is
+dropped to bound a band.
 """
 
 from __future__ import annotations
@@ -60,6 +63,8 @@ BANDS, BAND_ROWS = 32, 8
 SMALL_BAND = 16
 # Fingerprints of similar texts of enough shingles are about 10 bits apart, with a deviation of 3.
 FAR_APART, ENOUGH = 26, 32
+# Words of parity bits; texts of up to some 600 shingles are told apart down from 0.7.
+MARKS = 8
 # The minimum hashes of so many shingles at once stay in a core's cache.
 SHINGLES_AT_ONCE = 128
 SIMILARITY = 0.8
@@ -248,10 +253,14 @@ def _alike(
 
 
 def _possible(met: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (u, v) of structs (node, n, fp) that may be similar by size and fingerprint."""
+    """Distinct pairs (u, v) of structs (node, n, fp) that may be similar by size, fingerprint and marks, if they have any."""
     sized = met.where(F.least("u.n", "v.n") >= F.lit(similarity) * F.greatest("u.n", "v.n") - 1e-9)
     apart = F.bit_count(F.col("u.fp").bitwiseXOR(F.col("v.fp")))
     near = sized.where((F.least("u.n", "v.n") < ENOUGH) | (apart <= FAR_APART))
+    if "marks" in met.schema["u"].dataType.names:
+        differ = sum(F.bit_count(F.col(f"u.marks.p{w}").bitwiseXOR(F.col(f"v.marks.p{w}"))) for w in range(MARKS))
+        most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("u.n") + F.col("v.n"))
+        near = near.where(differ <= most + 1e-9)
     low, high = F.least("u.node", "v.node"), F.greatest("u.node", "v.node")
     return materialize(near.select(low.alias("u"), high.alias("v")).where("u < v").distinct(), "pairs")
 
@@ -309,7 +318,7 @@ def _close_copies(classes: DataFrame) -> DataFrame:
 
 
 def _rare_keys(texts: DataFrame, classes: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """(key, of): the rarest shingles of each text, of which similar texts share one.
+    """(key, of): the rarest shingles of each text, of which similar texts share one; ``of`` has its marks, too.
 
     Shingles are counted over the texts given and those of one text only are left out.
     """
@@ -322,7 +331,12 @@ def _rare_keys(texts: DataFrame, classes: DataFrame, shingle_words: int, similar
         "node", "key", "times", F.row_number().over(order).alias("place"), F.count("*").over(of_node).alias("all"))
     needed = F.col("all") - F.ceil(F.lit(similarity) * F.col("all") - 1e-9) + 1
     rare = ranked.where((F.col("place") <= needed) & (F.col("times") > 1)).select("key", "node")
-    of = classes.select(F.struct("node", "n", "fp").alias("of"))
+    bit = "shiftleft(1L, CAST(key & 63 AS INT))"
+    marks = materialize(hashes.groupBy("node").agg(*[
+        F.expr(f"bit_xor(CASE WHEN shiftrightunsigned(key, 6) % {MARKS} = {w} THEN {bit} ELSE 0L END)").alias(f"p{w}")
+        for w in range(MARKS)]), "marks")
+    of = classes.join(marks, "node").select(
+        F.struct("node", "n", "fp", F.struct(*[f"p{w}" for w in range(MARKS)]).alias("marks")).alias("of"))
     return materialize(rare.join(of, rare["node"] == of["of.node"]).select("key", "of"), "rare")
 
 

@@ -144,6 +144,24 @@ def test_texts_of_one_form_are_decided_exactly(spark, small_band):
         assert sum(d.count() for d in decided) < 25 * len(texts)
 
 
+def test_texts_of_shared_fillings_make_few_pairs(spark):
+    """Texts that share a form and some of their fillings: rare shingles meet, but at most 0.75 agree."""
+    rng, names = seeded(8), [f"word{i}" for i in range(3000)]
+    form, parts = words(rng, 75, names), [words(rng, 10, names) for _ in range(12)]
+    texts, sets = [], []
+    for text in (" ".join([form, *rng.sample(parts, 3)]) for _ in range(200)):
+        [own] = sets_of([text])
+        if all(jaccard(own, other) < 0.75 for other in sets):
+            texts.append(text)
+            sets.append(own)
+    n = len(texts)
+    texts += [t.rsplit(" ", 1)[0] + " changed" for t in texts[::3]]
+    rows, classes = classes_of(spark, texts)
+    links, decided = simhash.similar_links(classes, rows, 5, 0.8, small_band=1)
+    assert n > 30 and {tuple(r) for r in links.collect()} == {(3 * i, n + i) for i in range(len(texts) - n)}
+    assert sum(d.count() for d in decided[3:]) < n
+
+
 def test_recall_of_similar_pairs(spark):
     """Of pairs with a similarity of 0.8 to 0.87, alone in their bands, at least 0.97 are found."""
     rng, names = seeded(6), [f"word{i}" for i in range(3000)]
