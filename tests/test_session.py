@@ -3,6 +3,7 @@
 import os
 import subprocess
 import sys
+import uuid
 from types import SimpleNamespace
 
 import pytest
@@ -116,3 +117,35 @@ def test_a_scratch_block_that_fails_leaves_nothing(spark):
         materialize(spark.range(5), "inner")
         1 / 0  # noqa: B018
     assert folders(root) == before
+
+
+def cluster(spark, range=None, **settings):
+    """The session as a cluster with these folders would have it."""
+    return SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default=None: settings.get(key.split(".")[-2], default)),
+        sparkContext=SimpleNamespace(
+            master="spark://host:7077", applicationId=f"app-{uuid.uuid4().hex}",
+            defaultParallelism=spark.sparkContext.defaultParallelism),
+        _jvm=spark._jvm, _jsc=spark._jsc, range=range or spark.range, read=spark.read,
+    )
+
+
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_a_mount_that_executors_share_is_taken_on_a_cluster(spark, tmp_path, scheme):
+    shared = cluster(spark, checkpoint=f"{scheme}{tmp_path}/mount")
+    paths = [shared_dir(shared, "x") for _ in range(2)]
+    assert all(p.startswith(f"{scheme}{tmp_path}/mount/pagetally/app-") for p in paths) and len(set(paths)) == 2
+    assert not [f for _, _, files in os.walk(tmp_path) for f in files]
+
+
+def test_a_folder_that_misses_what_executors_wrote_is_refused(spark, tmp_path):
+    unshared = cluster(spark, lambda *_: spark.range(0, 3, 1, 1), checkpoint=f"{tmp_path}/a", warehouse=f"{tmp_path}/b")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir.*/a or .*/b") as refusal:
+        shared_dir(unshared, "x")
+    assert "sees 3 of 8 files" in str(refusal.value.__cause__)
+
+
+def test_a_shared_warehouse_stands_in_for_a_folder_that_cannot_be_written(spark, tmp_path):
+    (tmp_path / "file").write_text("")
+    mixed = cluster(spark, checkpoint=f"{tmp_path}/file/x", warehouse=f"{tmp_path}/warehouse")
+    assert shared_dir(mixed, "x").startswith(f"{tmp_path}/warehouse/pagetally/app-")
