@@ -101,6 +101,14 @@ def test_a_table_that_is_a_folder_streams_like_a_file(spark, tmp_path):
     assert got[0] == got[1] and sum(got[0].values()) == 50
 
 
+def test_the_report_runs_on_a_cluster_whose_shared_folder_is_a_mount(spark, folder, monkeypatch):
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    add_file(folder, 0, [(i, at(hours=i), "view") for i in range(50)])
+    os.rename(f"{folder}/events-0.parquet", f"{folder}/events.parquet")
+    got = counts(REPORTS["stream_daily_counts"](spark, folder))
+    assert got == {(at(days=d).date(), "view"): n for d, n in enumerate((24, 24, 2))}
+
+
 def test_no_events_to_stream_is_an_error(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="events.parquet"):
         stream_events(spark, str(tmp_path))
